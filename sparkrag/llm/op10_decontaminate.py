@@ -1,10 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of all documents (PASSAGE words each) are TF-IDF rows over hashed terms. A randomised SVD of that matrix A
-is distributed: document frequencies and the products A'(A G) are summed over partitions, term by term, and the driver
-sees only TERMS x RANK numbers. Windows of documents, as long as an item and a quarter apart, and the benchmark items
-are put in the latent space; pairs of cosine COSINE or more are candidates. A candidate leaks if the longest common
-subsequence of words covers SAME of the item, or PARAPHRASE of it with SAME of its answer (its last sentence).
+Texts become arrays of term numbers, stored once; terms are the words of the benchmark, other words are OTHER. Passages
+of all documents (PASSAGE words each) are TF-IDF rows over the terms. A randomised SVD of that matrix A is distributed:
+document frequencies and the product A'(A G) are summed over partitions, term by term, and the driver sees only
+RANK numbers per term. Windows of documents, as long as an item and a quarter apart, and the benchmark items are put in
+the latent space; pairs of cosine COSINE or more are candidates. A candidate leaks if the longest common subsequence
+of words covers SAME of the item, or PARAPHRASE of it with SAME of its answer (its last sentence).
+The subsequence can miss few of an item's words, so of its rarest words some must be near the window; windows without
+them are passed over, which loses nothing that the last check would keep.
 
 The benchmark is the stated small side: the driver holds it, and documents are searched in blocks of ITEMS items.
 Null and empty texts hold nothing and null or empty items are never found; repeated documents are found alike; equal
@@ -20,15 +23,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
-TERMS, RANK, PASSAGE = 1 << 15, 32, 64
+RANK, PASSAGE, OTHER = 32, 64, -1
 COSINE, SAME, PARAPHRASE = 0.6, 0.8, 0.6
 ITEMS = 4000
+#: Words that are worked on at once; a document is never cut.
+CHUNK = 1 << 17
 NOT_WORD = bytes(x for x in range(128) if not chr(x).isalnum())
 SPACES = bytes.maketrans(NOT_WORD, b" " * len(NOT_WORD))
 
@@ -37,78 +41,6 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(SPACES).split()
 
 
-class Hashed:
-    """Term numbers of words, remembered for frequent ones."""
-
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > 1 << 20:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh32_intdigest(w, 7) % TERMS
-        return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-
-
-def term_counts(texts: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of passages and, per term, of passages that hold it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, df, n = Hashed(), np.zeros(TERMS, np.int64), 0
-        for b in batches:
-            for t in b.column(0):
-                ids = h.ids(split_words(t.as_py()))
-                if len(ids):
-                    at = np.arange(len(ids)) // PASSAGE
-                    n += int(at[-1]) + 1
-                    df += np.bincount(np.unique(at * TERMS + ids) % TERMS, minlength=TERMS)
-        terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *terms.tolist()], pa.int32()), pa.array([n, *df[terms].tolist()], pa.int64())], ["term", "n"])
-
-    rows = texts.mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(TERMS), 0
-    for term, c in rows:
-        if term < 0:
-            n = c
-        else:
-            df[term] = c
-    return n, df
-
-
-def term_space(texts: DataFrame) -> np.ndarray:
-    """TERMS x RANK: a term's idf times its place in the latent space."""
-    n, df = term_counts(texts)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
-    rough = np.random.default_rng(42).standard_normal((TERMS, RANK)).astype(np.float32) * idf[:, None].astype(np.float32)
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, out = Hashed(), np.zeros((TERMS, RANK))
-        for b in batches:
-            for t in b.column(0):
-                ids = h.ids(split_words(t.as_py()))
-                for lo in range(0, len(ids), PASSAGE * 64):
-                    part = ids[lo : lo + PASSAGE * 64]
-                    at = np.arange(len(part)) // PASSAGE
-                    cell, tf = np.unique(at * TERMS + part, return_counts=True)
-                    at, term = cell // TERMS, cell % TERMS
-                    norm = np.sqrt(np.bincount(at, (tf * idf[term]) ** 2))
-                    weight = (tf * idf[term] / norm[at]).astype(np.float32)
-                    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                    rows = np.add.reduceat(rough[term] * (tf / norm[at])[:, None].astype(np.float32), starts)
-                    np.add.at(out, term, weight[:, None] * rows[at])
-        terms = np.flatnonzero(np.abs(out).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(list(out[terms].astype(np.float32)), pa.list_(pa.float32()))], ["term", "row"])
-
-    summed = texts.mapInArrow(multiply, "term int, row array<float>").groupBy("term").agg(*[F.sum(F.col("row")[i].cast("double")).alias(f"x{i}") for i in range(RANK)]).collect()
-    y = np.zeros((TERMS, RANK))
-    for r in summed:
-        y[r[0]] = r[1:]
-    q, _ = np.linalg.qr(y)
-    return (q * idf[:, None]).astype(np.float32)
-
-
 def lcs(a: list, b: list) -> int:
     """Length of a longest common subsequence, bit-parallel over a."""
     if not a:
@@ -125,16 +57,17 @@ def lcs(a: list, b: list) -> int:
 
 
 class Item:
-    def __init__(self, item_id, text: str | None):
-        self.item_id, self.words = item_id, split_words((text or "").encode())
+    """A benchmark item in term numbers; terms grows by its words."""
+
+    def __init__(self, item_id, text: str | None, terms: dict[bytes, int]):
+        number = lambda s: [terms.setdefault(w, len(terms)) for w in split_words(s.encode())]
+        self.item_id, self.words = item_id, number(text or "")
         self.bag = Counter(self.words)
-        sentences = [x for x in (split_words(s.encode()) for s in re.split(r"[.!?\n]+", text or "")) if x]
-        self.answer = sentences[-1] if sentences else []
+        self.answer = next((x for x in map(number, reversed(re.split(r"[.!?\n]+", text or ""))) if x), [])
 
-    def score(self, region: list[bytes]) -> float:
+    def score(self, region: list[int]) -> float:
         """Share of the item found in a region; 0 if it does not leak."""
-        n = len(self.words)
-        bag = Counter(region)
+        n, bag = len(self.words), Counter(region)
         if sum(min(c, bag[w]) for w, c in self.bag.items()) < PARAPHRASE * n:
             return 0.0
         share = lcs(self.words, region) / n
@@ -143,62 +76,176 @@ class Item:
         return 0.0
 
 
+def numbered(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
+    """(doc_id, ids) of every document with words: ids holds a term number per word, as 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = lambda w: terms.get(w, OTHER)
+        for b in batches:
+            ids = []
+            for t in b.column(1):
+                w = split_words(t.as_py())
+                ids.append(np.fromiter(map(get, w), np.int32, len(w)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, ids binary").where("length(ids) > 0")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(doc_ids, where each document starts and the last ends, term numbers) of about CHUNK words, whole documents."""
+    names, parts, n = [], [], 0
+    for b in batches:
+        for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            names.append(name)
+            parts.append(np.frombuffer(raw, np.int32))
+            n += len(parts[-1])
+            if n >= CHUNK:
+                yield names, np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
+                names, parts, n = [], [], 0
+    if parts:
+        yield names, np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
+
+
+def cells(starts: np.ndarray, ids: np.ndarray, terms: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of passages, and per passage and term in it: passage, term, count; ordered by passage."""
+    sizes = np.diff(starts)
+    passages = -(-sizes // PASSAGE)
+    first = np.cumsum(passages) - passages
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = first[doc] + (np.arange(len(ids)) - starts[doc]) // PASSAGE
+    known = ids >= 0
+    cell, tf = np.unique(at[known] * terms + ids[known], return_counts=True)
+    return int(passages.sum()), cell // terms, cell % terms, tf
+
+
+def term_space(numbers: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document frequency of the terms, and per term RANK numbers: its idf times its place in the latent space."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(terms + 1, np.int64)
+        for _, starts, ids in chunks(batches):
+            n, _, term, _ = cells(starts, ids, terms)
+            df[:terms] += np.bincount(term, minlength=terms)
+            df[terms] += n
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some], pa.int64())], ["term", "n"])
+
+    df = np.zeros(terms + 1)
+    for term, c in numbers.select("doc_id", "ids").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[term] = c
+    idf = np.log((df[terms] + 1) / (df[:terms] + 1)) + 0.1
+    rough = (np.random.default_rng(42).standard_normal((terms, RANK)) * idf[:, None]).astype(np.float32)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((terms, RANK))
+        for _, starts, ids in chunks(batches):
+            _, at, term, tf = cells(starts, ids, terms)
+            if not len(at):
+                continue
+            begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            row = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(at)]))
+            weight = tf * idf[term]
+            norm = np.sqrt(np.add.reduceat(weight**2, begins))[row]
+            rows = np.add.reduceat(rough[term] * (tf / norm)[:, None].astype(np.float32), begins)
+            order = np.argsort(term, kind="stable")
+            begins = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
+            out[term[order[begins]]] += np.add.reduceat(rows[row[order]] * (weight / norm)[order, None].astype(np.float32), begins)
+        some = np.flatnonzero(np.abs(out).sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(out[some].astype(np.float32)), pa.list_(pa.float32()))], ["term", "row"])
+
+    y = np.zeros((terms, RANK))
+    sums = [F.sum(F.col("row")[i].cast("double")).alias(f"x{i}") for i in range(RANK)]
+    for r in numbers.select("doc_id", "ids").mapInArrow(multiply, "term int, row array<float>").groupBy("term").agg(*sums).collect():
+        y[r[0]] = r[1:]
+    q, _ = np.linalg.qr(y)
+    return df[:terms], (q * idf[:, None]).astype(np.float32)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+
+def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[k], first[k] + 1, ... counts[k] numbers, for every k."""
+    ends = np.cumsum(counts)
+    return np.arange(counts.sum()) + np.repeat(first - (ends - counts), counts)
+
+
 class Searcher:
-    def __init__(self, items: list[Item], space: np.ndarray):
-        self.space, self.hashed = space, Hashed()
-        classes: dict[int, list[Item]] = {}
-        for x in items:
-            if x.words:
-                length = 4
-                while length < len(x.words):
-                    length += max(1, length // 6)
-                classes.setdefault(length, []).append(x)
-        self.classes = [(n, xs, self.unit(np.array([space[self.hashed.ids(x.words)].sum(0) for x in xs]))) for n, xs in sorted(classes.items())]
-
-    @staticmethod
-    def unit(rows: np.ndarray) -> np.ndarray:
-        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-
-    def search(self, text: bytes | None) -> list[tuple]:
-        """(item_id, score) of the items that a text leaks."""
-        w = split_words(text)
-        if not w:
-            return []
-        best: dict[int, tuple] = {}
-        sums = np.zeros((len(w) + 1, self.space.shape[1]))
-        np.cumsum(self.space[self.hashed.ids(w)], axis=0, dtype=np.float64, out=sums[1:])
-        for length, items, vectors in self.classes:
-            step = max(1, length // 4)
-            starts = np.arange(0, max(1, len(w) - length + step), step)
-            ends = np.minimum(starts + length, len(w))
-            for lo in range(0, len(starts), 4096):
-                s, e = starts[lo : lo + 4096], ends[lo : lo + 4096]
-                close = self.unit(sums[e] - sums[s]).astype(np.float32) @ vectors.T >= COSINE
-                for i, j in zip(*np.nonzero(close)):
-                    item = items[j]
-                    if best.get(id(item), (None, 0.0))[1] < 1:
-                        score = item.score(w[max(0, s[i] - step) : e[i] + step])
-                        if score > best.get(id(item), (None, 0.0))[1]:
-                            best[id(item)] = (item.item_id, score)
-        return list(best.values())
+    def __init__(self, items: list[Item], df: np.ndarray, space: np.ndarray, cosine: float = COSINE):
+        self.items, self.space, self.cosine = [x for x in items if x.words], space, cosine
+        self.length = np.array([len(x.words) for x in self.items], np.int64)
+        self.step = np.maximum(1, self.length // 4)
+        self.vectors = unit(np.array([space[x.words].sum(0) for x in self.items]).reshape(len(self.items), space.shape[1]))
+        # A subsequence misses at most `missed` words, so of the missed + need rarest words of an item need are hit.
+        missed = self.length - np.ceil(PARAPHRASE * self.length).astype(np.int64)
+        self.need = np.minimum(self.length - missed, np.maximum(1, self.length // 6))
+        owners = [(w, j) for j, x in enumerate(self.items) for w in sorted(set(sorted(x.words, key=lambda w: (df[w], w))[: missed[j] + self.need[j]]))]
+        owners.sort()
+        self.owner = np.array([j for _, j in owners], np.int64)
+        self.count = np.bincount(np.array([w for w, _ in owners], np.int64), minlength=len(df))
+        self.first = np.cumsum(self.count) - self.count
+
+    def windows(self, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, document, number of the window) of the windows with enough rare words of the item within a step."""
+        pos = np.flatnonzero(ids >= 0)
+        counts = self.count[ids[pos]]
+        item = self.owner[ranges(self.first[ids[pos]], counts)]
+        pos = np.repeat(pos, counts)
+        order = np.argsort(item, kind="stable")
+        item, pos = item[order], pos[order]
+        doc = np.searchsorted(starts, pos, "right") - 1
+        last = np.arange(len(item)) + self.need[item] - 1
+        ok = last < len(item)
+        last = np.minimum(last, max(0, len(item) - 1))
+        step, length = self.step[item], self.length[item]
+        ok &= (item[last] == item) & (doc[last] == doc) & (pos[last] - pos < length + 2 * step)
+        item, doc, lo, hi, step, length = item[ok], doc[ok], pos[ok], pos[last[ok]], step[ok], length[ok]
+        lo, hi = lo - starts[doc], hi - starts[doc]
+        begin = np.maximum(0, -(-(hi - length - step + 1) // step))
+        counts = np.maximum(0, (lo + step) // step - begin + 1)
+        found = np.unique(np.stack([np.repeat(item, counts), np.repeat(doc, counts), ranges(begin, counts)]), axis=1)
+        return tuple(found[:, found[2] * self.step[found[0]] < np.diff(starts)[found[1]]])
+
+    def search(self, starts: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, float]]:
+        """(document, item, score) of the items that documents leak."""
+        best: dict[tuple[int, int], float] = {}
+        item, doc, at = self.windows(starts, ids) if self.items else (np.zeros(0, np.int64),) * 3
+        for lo in range(0, len(item), 4096):
+            j, d = item[lo : lo + 4096], doc[lo : lo + 4096]
+            step = self.step[j]
+            s = starts[d] + at[lo : lo + 4096] * step
+            e = np.minimum(s + self.length[j], starts[d + 1])
+            near = ids[ranges(s, e - s)]
+            rows = np.add.reduceat(np.where((near >= 0)[:, None], self.space[near], np.float32(0)), np.cumsum(e - s) - (e - s))
+            close = np.flatnonzero((unit(rows) * self.vectors[j]).sum(1) >= self.cosine)
+            for k in close:
+                key = (int(d[k]), int(j[k]))
+                if best.get(key, 0.0) < 1:
+                    score = self.items[key[1]].score(ids[max(starts[d[k]], s[k] - step[k]) : min(e[k] + step[k], starts[d[k] + 1])].tolist())
+                    if score > best.get(key, 0.0):
+                        best[key] = score
+        return [(d, self.items[j].item_id, x) for (d, j), x in best.items()]
+
+
+FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score) of every document that leaks a benchmark item."""
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
-    space = term_space(texts)
-    items = [Item(*r) for r in benchmark.select("item_id", "text").collect()]
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    terms: dict[bytes, int] = {}
+    items = [Item(*r, terms) for r in benchmark.select("item_id", "text").collect()]
+    numbers = stored(numbered(docs, terms), "term-numbers")
+    df, space = term_space(numbers, len(terms)) if terms else (np.zeros(0), np.zeros((0, RANK), np.float32))
 
     def block(part: list[Item]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = Searcher(part, space)
-            for b in batches:
-                found = [(d, item, score) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for item, score in s.search(t.as_py())]
-                cols = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["doc_id", "item_id", "score"])
+            s = Searcher(part, df, space)
+            for names, starts, ids in chunks(batches):
+                cols = list(zip(*[(names[d], item, x) for d, item, x in s.search(starts, ids)])) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, FOUND.types)], schema=FOUND)
 
-        return rows.mapInArrow(run, "doc_id bigint, item_id bigint, score double")
+        return numbers.mapInArrow(run, "doc_id bigint, item_id bigint, score double")
 
     return reduce(DataFrame.union, [block(items[lo : lo + ITEMS]) for lo in range(0, max(1, len(items)), ITEMS)])
 

@@ -33,6 +33,10 @@ MAGIC = b"SSTTOK01"
 BLOCK_BYTES = 1 << 18
 BITS_PER_KEY, PROBES = 10, 7
 END = 1
+#: Fixed value: a pre-tokenizer pattern that matches no white space.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Encoded words are remembered, at most so many, none longer than LONG characters.
+CACHED, LONG = 1 << 19, 64
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -128,6 +132,57 @@ class Reader:
         return None
 
 
+class Encoder:
+    """Token ids of whole texts as bytes, each followed by END.
+
+    Texts are cut at spaces and line feeds, across which the tokenizer must neither join, change nor emit anything;
+    `exact` finds that in a tokenizer's definition. Frequent words are encoded once. Other tokenizers get texts whole.
+    """
+
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer
+
+        self.encoder = Tokenizer.from_file(tokenizer)
+        self.by_word = self.exact(json.loads(self.encoder.to_str()))
+        self.seen: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def exact(definition: dict) -> bool:
+        """Whether the tokenizer splits as SPLIT does, with parts that do not look across white space."""
+        norm, pre = definition.get("normalizer") or {}, definition.get("pre_tokenizer") or {}
+        split, *rest = pre.get("pretokenizers") or [{}]
+        return (
+            all(x["type"] in {"NFC", "Lowercase"} or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in norm.get("normalizers", []))
+            and (not norm or "normalizers" in norm)
+            and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
+            and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
+            and not any(x["lstrip"] or x["rstrip"] or any(map(str.isspace, x["content"])) for x in definition["added_tokens"])
+            and not definition["model"].get("dropout")
+        )
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        end = np.array([END], "<u4").tobytes()
+        if not self.by_word:
+            return [x + end for x in self.whole(texts)]
+        seen, out = self.seen, []
+        for text in texts:
+            if len(seen) > CACHED:
+                seen.clear()
+                seen[""] = b""
+            words = text.replace("\n", " ").split(" ")
+            new = [w for w in set(words) if w not in seen]
+            for lo in range(0, len(new), 4096):
+                seen.update(zip(new[lo : lo + 4096], self.whole(new[lo : lo + 4096])))
+            out.append(b"".join(map(seen.__getitem__, words)) + end)
+            for w in new:
+                if len(w) > LONG:
+                    del seen[w]
+        return out
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | None = None) -> DataFrame:
     """(shard, file, n_rows, n_ids) of the shards written; a retried task writes a file of another name."""
 
@@ -135,9 +190,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | Non
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(tokenizer)
+        encoder = Encoder(tokenizer)
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base)
         file, ids = f"{base}/{uuid.uuid4().hex}.sst", 0
@@ -148,10 +201,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | Non
                 keys = b.column(0).to_pylist()
                 texts = [x or "" for x in b.column(1).to_pylist()]
                 for lo in range(0, len(texts), 64):
-                    for doc, e in zip(keys[lo : lo + 64], encoder.encode_batch_fast(texts[lo : lo + 64], add_special_tokens=False)):
-                        value = np.array([*e.ids, END], "<u4")
-                        ids += len(value)
-                        w.add(key_of(doc), value.tobytes())
+                    for doc, value in zip(keys[lo : lo + 64], encoder.encode(texts[lo : lo + 64])):
+                        ids += len(value) // 4
+                        w.add(key_of(doc), value)
             w.finish()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_rows": pa.array([w.rows], pa.int64()), "n_ids": pa.array([ids], pa.int64())}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64())]))
 

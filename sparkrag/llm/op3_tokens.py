@@ -12,7 +12,9 @@ table gives shards without entries and no rows, further columns are ignored, tex
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
+import itertools
 import json
 import struct
 import uuid
@@ -35,8 +37,10 @@ BITS_PER_KEY, PROBES = 10, 7
 END = 1
 #: Fixed value: a pre-tokenizer pattern that matches no white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Encoded words are remembered, at most so many, none longer than LONG characters.
-CACHED, LONG = 1 << 19, 64
+#: Encoded words are remembered, about CACHED at most, none longer than LONG bytes; when full, the first KEPT stay.
+CACHED, KEPT, LONG = 1 << 19, 1 << 16, 64
+LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
+LETTERS, MARKS = frozenset(b"abcdefghijklmnopqrstuvwxyz"), frozenset(b".,;:!?")
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -136,7 +140,8 @@ class Encoder:
     """Token ids of whole texts as bytes, each followed by END.
 
     Texts are cut at spaces and line feeds, across which the tokenizer must neither join, change nor emit anything;
-    `exact` finds that in a tokenizer's definition. Frequent words are encoded once. Other tokenizers get texts whole.
+    `exact` finds that in a tokenizer's definition. Frequent words are encoded once, without case (but where a special
+    token could begin) and without one mark after a letter, which is a token of its own. Other tokenizers get texts whole.
     """
 
     def __init__(self, tokenizer: str):
@@ -144,7 +149,7 @@ class Encoder:
 
         self.encoder = Tokenizer.from_file(tokenizer)
         self.by_word = self.exact(json.loads(self.encoder.to_str()))
-        self.seen: dict[str, bytes] = {"": b""}
+        self.seen: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def exact(definition: dict) -> bool:
@@ -167,22 +172,33 @@ class Encoder:
         end = np.array([END], "<u4").tobytes()
         if not self.by_word:
             return [x + end for x in self.whole(texts)]
-        seen, out = self.seen, []
+        out = []
         for text in texts:
-            if len(seen) > CACHED:
-                seen.clear()
-                seen[""] = b""
-            words = text.replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in seen]
-            for lo in range(0, len(new), 4096):
-                seen.update(zip(new[lo : lo + 4096], self.whole(new[lo : lo + 4096])))
+            if len(self.seen) > CACHED:
+                self.seen = dict(itertools.islice(self.seen.items(), KEPT))
+            seen, raw = self.seen, text.encode()
+            words = (raw if b"<|" in raw else raw.translate(LOWER)).replace(b"\n", b" ").split(b" ")
+            new = set(words).difference(seen)
+            marked = {w for w in new if len(w) > 1 and w[-1] in MARKS and w[-2] in LETTERS}
+            plain = sorted((new - marked | {w[:-1] for w in marked} | {w[-1:] for w in marked}).difference(seen))
+            for lo in range(0, len(plain), 512):
+                some = plain[lo : lo + 512]
+                seen.update(zip(some, self.whole([w.decode() for w in some])))
+            for w in marked:
+                seen[w] = seen[w[:-1]] + seen[w[-1:]]
             out.append(b"".join(map(seen.__getitem__, words)) + end)
-            for w in new:
+            for w in (*plain, *marked):
                 if len(w) > LONG:
                     del seen[w]
         return out
 
 
+@functools.lru_cache(1)
+def encoder_of(tokenizer: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    return Encoder(tokenizer)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | None = None) -> DataFrame:
     """(shard, file, n_rows, n_ids) of the shards written; a retried task writes a file of another name."""
 
@@ -190,7 +206,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | Non
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base)
         file, ids = f"{base}/{uuid.uuid4().hex}.sst", 0
@@ -199,9 +215,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | Non
             w = Writer(out)
             for b in batches:
                 keys = b.column(0).to_pylist()
-                texts = [x or "" for x in b.column(1).to_pylist()]
-                for lo in range(0, len(texts), 64):
-                    for doc, value in zip(keys[lo : lo + 64], encoder.encode(texts[lo : lo + 64])):
+                for lo in range(0, len(keys), 64):
+                    texts = [x or "" for x in b.column(1).slice(lo, 64).to_pylist()]
+                    for doc, value in zip(keys[lo : lo + 64], encoder.encode(texts)):
                         ids += len(value) // 4
                         w.add(key_of(doc), value)
             w.finish()

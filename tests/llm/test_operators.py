@@ -106,7 +106,7 @@ def test_encoder_equals_whole_texts():
     e = op3_tokens.Encoder(op3_tokens.default_tokenizer())
     assert e.by_word and not e.exact({**json.loads(e.encoder.to_str()), "normalizer": None, "pre_tokenizer": {"type": "Whitespace"}})
     rnd = random.Random(4)
-    alphabet = ["a", "B", "'s", "'", "é", "e\u0301", "\u0301", "Σ", "ς", "İ", "\u00a0", "\u2028", "\t", "\r", "\x0b", " ", "\n", "  ", "7", "漢", "😀", "<|endoftext|>", "<|endof", "text|>", "\u200d", "\x00", "?!", "\uac00", "\u11a8"]
+    alphabet = ["a", "B", "'s", "'", "é", "e\u0301", "\u0301", "Σ", "ς", "İ", "\u00a0", "\u2028", "\t", "\r", "\x0b", " ", "\n", "  ", "7", "漢", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "<|endof", "text|>", ".", ",", "!", "Qu", "\u212a",  "\u200d", "\x00", "?!", "\uac00", "\u11a8"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(20000)] + ["x" * 5000 + " " + "x" * 5000]
     assert e.encode(texts) == [x + b"\1\0\0\0" for x in e.whole(texts)]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrag.llm import op1_mix, op3_tokens, op7_simhash, op8_rules, op10_decontaminate
+from sparkrag.llm import near_copies, op1_mix, op3_tokens, op8_rules, op10_decontaminate
 from sparkrag.llm.common import stored, table
 
 
@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints."""
-    return op7_simhash.keep_one(docs)
+    """One document of each component of texts at a five-word similarity of 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

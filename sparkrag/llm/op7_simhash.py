@@ -110,13 +110,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(classes, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of docs; of rows with equal doc_id one."""
-    named = near_duplicates(docs)
-    kept = named.where("doc_id <=> component_id").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_k"])).drop("_k").dropDuplicates(["doc_id"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Vectors of the index and of the query set that are multiplied at once.
+ROWS, QUERIES = 2048, 256
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,6 +54,43 @@ def dense_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _packed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                vecs = part.column(1).flatten()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (part.column(0), vecs)], ["ids", "vecs"])
+
+    return run
+
+
+def _best(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, vecs, qids, qvecs = (b.column(c)[i].values.to_numpy() for c in range(4))
+                order = np.argsort(ids, kind="stable")
+                ids = ids[order]
+                m = vecs.reshape(len(ids), -1)[order].astype(np.float64)
+                scores = np.round(qvecs.reshape(len(qids), -1).astype(np.float64) @ m.T, 6)
+                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                q = np.repeat(qids, at.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids[at.ravel()], pa.int64()), pa.array(np.take_along_axis(scores, at, 1).ravel(), pa.float64())], ["query_id", "id", "score"])
+
+    return run
+
+
+def dense_top_k_blocks(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact search as dense_top_k, for query sets of any size: each block of queries meets each block of the index, and the k best of each meeting are ranked. Null vectors have no score and go."""
+    kind = "array<bigint>", "array<float>"
+    left = index.where("vec IS NOT NULL").select(F.col("id").cast("long"), "vec").mapInArrow(_packed(ROWS), "ids {}, vecs {}".format(*kind))
+    right = queries.where("qvec IS NOT NULL").select(F.col("query_id").cast("long"), "qvec").mapInArrow(_packed(QUERIES), "ids {}, vecs {}".format(*kind)).toDF("qids", "qvecs")
+    best = left.crossJoin(right).mapInArrow(_best(k), "query_id bigint, id bigint, score double")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def fuse(lists: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (id, rank), ranks from 0 or 1 as the caller counts them."""
     return lists.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min("rank").alias("best_rank"))

@@ -82,6 +82,18 @@ def rrf_hybrid(spark, sf_dir):
     return fused.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "best_rank", "id").limit(10)
 
 
+def _judged(labels, found):
+    """(query_id, rel, rank) of found without the query itself, and (query_id, ql)."""
+    top = found.where("id <> query_id")
+    ql = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    ranked = top.join(labels, top["id"] == labels["vec_id"]).join(ql, "query_id").select("query_id", (F.col("label") == F.col("ql")).alias("rel"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
+    return ranked, ql
+
+
+def _totals(labels, ql):
+    return ql.join(labels.groupBy("label").agg((F.count("*") - 1).alias("total")), F.col("ql") == F.col("label")).select("query_id", "total")
+
+
 @query(DENSE_SQL + """, top AS (SELECT * FROM r WHERE rank <= 5 + 1 AND id <> query_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rk FROM top),
 t AS (SELECT query_id, count(*) FILTER (rel AND id <> query_id) AS total FROM s GROUP BY query_id)
 SELECT query_id, max((rk <= 1 AND rel)::INT) AS hit1, max((rk <= 3 AND rel)::INT) AS hit3, round(coalesce(1.0::DOUBLE / min(rk) FILTER (rel), 0), 6) AS rr, round((count(*) FILTER (rel))::DOUBLE / any_value(total), 6) AS recall,
@@ -89,11 +101,29 @@ round(sum(CASE WHEN rel THEN 1 / log2(rk + 1.0::DOUBLE) ELSE 0 END) / list_sum(l
 FROM k JOIN t USING (query_id) WHERE rk <= 5 AND total > 0 GROUP BY query_id""")
 def metrics_hit_mrr_recall_ndcg(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    top = _dense(spark, sf_dir, 6).where("id <> query_id")
-    ql = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    ranked = top.join(labels, top["id"] == labels["vec_id"]).join(ql, "query_id").select("query_id", (F.col("label") == F.col("ql")).alias("rel"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
-    total = ql.where("query_id < 10").join(labels.groupBy("label").agg((F.count("*") - 1).alias("total")), F.col("ql") == F.col("label")).select("query_id", "total")
-    return R.metrics(ranked, total, 5)
+    ranked, ql = _judged(labels, _dense(spark, sf_dir, 6))
+    return R.metrics(ranked, _totals(labels, ql.where("query_id < 10")), 5)
+
+
+#: The whole search: every row whose id is divisible by 100 against all rows.
+ALL_SQL = DENSE_SQL.replace("vec_id < 10", "vec_id % 100 = 0")
+
+
+def _dense_all(spark, sf_dir, k):
+    e = table(spark, sf_dir, "embeddings")
+    return R.dense_top_k_blocks(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), k)
+
+
+@query(ALL_SQL + "SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= 20")
+def dense_topk_hundredth(spark, sf_dir):
+    return _dense_all(spark, sf_dir, 20)
+
+
+@query(SQL["metrics_hit_mrr_recall_ndcg"].replace(DENSE_SQL, ALL_SQL))
+def metrics_hundredth(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    ranked, ql = _judged(labels, _dense_all(spark, sf_dir, 6))
+    return R.metrics(ranked, _totals(labels, ql.where("query_id % 100 = 0")), 5)
 
 
 @query("""WITH seeds AS (SELECT conv_id AS topic, min(turn) FILTER (role = 'user') AS pos, conv_id AS seed_rank FROM conversations GROUP BY conv_id HAVING min(turn) FILTER (role = 'user') IS NOT NULL),

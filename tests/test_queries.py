@@ -35,3 +35,22 @@ def test_session_gap_is_strict(spark):
     rows = spark.sql("SELECT 1 u, id, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) AS ts FROM VALUES (1, 0.0), (2, 600.0), (3, 1200.000001) AS v(id, s)")
     got = threads.sessions(rows, "u", "ts", "id").orderBy("id").collect()
     assert [r["window_no"] for r in got] == [1, 1, 2]
+
+
+def test_dense_search_takes_every_hundredth_row(spark, tmp_path):
+    import random
+
+    from sparkrag.plans import queries
+
+    rnd = random.Random(2)
+    rows = [(i, [rnd.choice([-1.0, 0.5, 1.0]) for _ in range(4)], i % 3) for i in range(5200)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in queries.QUERIES["dense_topk_hundredth"](spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    assert sorted(got) == list(range(0, 5200, 100))
+    for q, ids in got.items():
+        best = sorted(range(5200), key=lambda i: (-dot(rows[q][1], rows[i][1]), i))[:20]
+        assert [ids[i] for i in range(1, 21)] == best
+    assert queries.QUERIES["metrics_hundredth"](spark, str(tmp_path)).count() == 52

@@ -19,17 +19,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_copies.keep_one(docs)
 
 
+def by_text(docs: DataFrame) -> DataFrame:
+    """docs with the text's key as doc_id, which near_duplicates leaves unique; ids may be null or repeated."""
+    return docs.withColumn("doc_id", near_copies.text_key())
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    found = op10_decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]), "left_anti")
+    found = op10_decontaminate.leaks(by_text(docs), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_d")).distinct()
+    return docs.withColumn("_k", near_copies.text_key()).join(found, F.col("_k") == F.col("_d"), "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; doc_id is unique since near_duplicates."""
-    taken = op1_mix.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), "copies")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_d"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("_c")).drop("_c")
+    """Each document as many times as the mix takes it."""
+    taken = op1_mix.mix(by_text(docs)).where("copies > 0").select(F.col("doc_id").alias("_d"), "copies")
+    joined = docs.withColumn("_k", near_copies.text_key()).join(taken, F.col("_k") == F.col("_d"))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_c")).drop("_c")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,18 @@ def test_bounds():
 
 def test_empty(spark):
     assert near_copies.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_null_and_repeated_ids_stay(spark, tmp_path):
+    rnd = random.Random(13)
+    text = lambda: " ".join("".join(rnd.choices("abcdefghijklmnop", k=5)) for _ in range(60))
+    leak = text()
+    rows = [(None, text(), "s"), (None, text(), "s"), (7, text(), "s"), (7, text(), "s"), (7, text() + " " + leak, "s")]
+    docs = spark.createDataFrame([*rows, rows[0], rows[2]], DOCS)
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.distinct().collect()))
+    clean = corpus_pipeline.decontaminate(spark, kept, str(tmp_path))
+    assert {r["text"] for r in clean.collect()} == {t for _, t, _ in rows[:4]}
+    mixed = [r["text"] for r in corpus_pipeline.mix(spark, clean, "").collect()]
+    assert {t: mixed.count(t) for t in set(mixed)} == {t: 2 for _, t, _ in rows[:4]} or len(mixed) == 6 and max(map(mixed.count, mixed)) <= 2

@@ -44,7 +44,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("token_output", tokens)]
 
-#: SimHash components, latent retrieval and tokenization have no SQL form; tests hold the stages against plain versions.
+#: SimHash components, latent retrieval and tokenization have no SQL form; tests hold near_duplicates against all pairs, no test runs all stages.
 ORACLE_SQL = None
 
 

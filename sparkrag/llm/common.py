@@ -27,12 +27,38 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+#: Shared folders made so far, in order; `release` deletes them.
+_made: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder, as URI, below spark.checkpoint.dir; where that is unset (tests), below the warehouse."""
+    """A new folder, as URI of the file system that the session gives to it, below spark.checkpoint.dir; where that is unset (tests), below the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    if "://" not in base:
-        base = "file://" + base.removeprefix("file:")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at, fs = _file_system(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    uri = fs.makeQualified(at).toString()
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file://" + uri.removeprefix("file:")
+    _made.append(uri)
+    return uri
+
+
+def mark() -> int:
+    """To hand to `release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: str) -> None:
+    """Deletes the shared folders made since a mark, but for `keep`: for when no table read from them is needed any more."""
+    for path in _made[since:]:
+        if path != keep:
+            at, fs = _file_system(spark, path)
+            fs.delete(at, True)
+    _made[since:] = [keep]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +68,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, classes: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """rows joined with classes, whose key is unique. Keys of rows that hold more than a `most`-th of them are fewer than `most`,
+    so their classes are broadcast and their rows stay where they are; the others are joined by shuffling. Both sides are read more than once: store them."""
+    n = rows.count()
+    hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(n // most, 100)).where(F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(classes, key)
+    at = F.col(key).isin(hot)
+    return rows.where(at).join(F.broadcast(classes.where(at)), key).unionByName(rows.where(~at).join(classes.where(~at), key))
+
+
 def rank_in_group(df: DataFrame, group: list[str], order: list[str], part: str, out: str) -> DataFrame:
     """Adds `out`: the 0-based rank of each row of `group` by (order, part), a gapless number.
 

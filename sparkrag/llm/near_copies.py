@@ -1,22 +1,29 @@
-"""Near copies for the pipeline: exact set similarity of five-word shingles.
-
-Two texts link when the Jaccard similarity of their sets of SHINGLE-word shingles (lower-cased) is 0.8 or more. No such
-pair is missed, whatever its fingerprints: a pair shares at least least(n) = ceil(0.8 n) of the n shingles of either side.
-Of each set the n - least(n) + extra(n) smallest hashes are drawn, so a pair shares at least shared(n) drawn ones.
-Drawn hashes that one text alone holds cannot be shared. Of the others, rarest first, all but the last shared(n) - 1 are
-the keys of a text: a pair shares a key, and a text without keys has no partner.
-Texts of a key are compared in blocks by a parity bitmap of the whole set: two bitmaps differ in no more bits than the
-sets in shingles, so what is farther apart than similarity 0.8 allows goes without loss, and no row is made of it. The rest
-is compared by whole sets: first each text with the nearest lower one of its key, then all pairs across the components
-which that gives. Time in a key grows with the square of its texts, by some ten nanoseconds a pair.
+"""Near copies for the pipeline: covering masks over shingle sets, and an exact check.
+
+Two texts link when the Jaccard similarity of their sets of SHINGLE-word shingles (lower-cased) is 0.8 or more. Sets of n
+and m shingles then differ in at most (n + m) / 9 of them, whatever their 64-bit SimHash fingerprints do (those of linked
+texts were seen 2 to 11 bits apart; a radius of 11 would take 4,095 tables). So the covering masks of op7 are laid over
+the sets themselves: a mask keeps the shingles of one class of hash values. With one class more than sets can differ
+in, a linked pair agrees on all shingles of some class, whose sum is a key of both. Sets are large, so fewer classes do: as
+many as leave a pair at 0.8 COVER classes untouched on average (a miss is likelier than 10^-6 in no size); small sets, where a
+class may be empty, take classes under several hash functions. Class counts belong to ranges of sizes, RATIO wide; a text in
+reach of the next range has keys there too.
+
+Texts of a key are nearly always near copies. First every text is checked against the least text of that key it shares most
+keys with. Then keys that hold several components are compared in blocks, by a parity bitmap of the whole set: bitmaps
+differ in no more bits than sets in shingles, so texts farther apart than 0.8 allows go without loss, and no row is made of
+them. Of each text the nearest of another component is checked, and, across the components which that gives, all that are
+left. A key's most frequent component is not compared with itself, and a key of any size is spread over blocks.
 
 Equal texts are one text with one key (64-bit hash). A text of fewer words is one shingle; null, empty and blank texts are
 one text. Of a component the row of least (doc_id, key) stays, null last; null and repeated ids with differing texts are
-rows of their own. An empty table gives no rows; further columns are kept. Texts are processed whole.
+rows of their own. An empty table gives no rows; further columns are kept, whatever their names. Texts are processed whole.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +32,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_hot, stored
 from .op7_simhash import components
 
 SHINGLE = 5
 #: Words remembered by a worker.
 MEMORY = 1 << 16
-#: Rows hashed, or keys compared, at once, to spare memory.
+#: Rows hashed at once, to spare memory.
 ROWS = 500
-#: Sets of so many shingles or fewer are drawn whole.
-SMALL = 40
-#: 64-bit words of a parity bitmap; texts of a key compared at once.
-BITS, BLOCK = 8, 256
+#: Width of a range of sizes; classes left untouched on average between sets at similarity 0.8.
+RATIO, COVER = 1.5, 16
+#: 64-bit words of a parity bitmap; texts in a block.
+BITS, BLOCK = 8, 1024
 MIX = [np.uint64(xxhash.xxh64_intdigest(bytes([i]), 7) | 1) for i in range(SHINGLE)]
 
 
@@ -50,6 +57,11 @@ class Words(dict):
         return h
 
 
+def mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * by
+    return x ^ x >> np.uint64(29)
+
+
 def shingles(text: bytes | None, words: Words) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
     w = (text or b"").lower().split() or [b""]
@@ -59,54 +71,112 @@ def shingles(text: bytes | None, words: Words) -> np.ndarray:
     out = np.full(n, size, np.uint64)
     for i in range(size):
         out += h[i : i + n] * MIX[i]
-    out ^= out >> np.uint64(32)
-    out *= MIX[0]
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return np.unique(mixed(out, MIX[0]))
 
 
-def least(n):
-    """Shingles that a set of n has in common with any set at similarity 0.8, at least: ceil(0.8 n)."""
-    return (4 * n + 4) // 5
+def differ(n: int, m: int) -> int:
+    """Shingles in one only of two sets of n and m, at most, at similarity 0.8."""
+    return (n + m) // 9
 
 
-def extra(n):
-    """Of the drawn ones; sets of up to SMALL are drawn whole. Never falls with n."""
-    return least(n) if n <= SMALL else max(least(SMALL), n // 20 + 1)
+def range_of(n: int) -> int:
+    """Number of the range of sizes that n is in."""
+    return int(math.log(n) / math.log(RATIO) + 1e-9)
 
 
-def shared(n):
-    """Drawn hashes that a set of n has in common with any set at similarity 0.8, at least; its partner has least(n) shingles or more, 5 n / 4 or fewer."""
-    return least(n) if 5 * n // 4 <= SMALL else extra(least(n))
+@functools.cache
+def classes(r: int) -> tuple[np.ndarray, int]:
+    """Upper ends of the classes of hash values in a range of sizes, and under how many hash functions they are laid."""
+    top = math.ceil(RATIO ** (r + 1))
+    most = differ(top, top)
+    count = next((p for p in range(1, most + 1) if p * math.exp(-most / p) >= COVER), most + 1)
+    ends = [np.uint64((1 << 64) * (i + 1) // count - 1) for i in range(count)]
+    return np.array(ends, np.uint64), 4 if top <= 60 else 2 if top <= 200 else 1
 
 
-def _hashes(whole: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in sliced(batches):
-            sets, sizes, needs = [], [], []
-            for x in b.column(1):
-                s = shingles(x.as_py(), words)
-                n = len(s)
-                sizes.append(n)
-                needs.append(shared(n))
-                sets.append((s if whole else s[: n - least(n) + extra(n)].copy()).view(np.int64))
-            ends = np.cumsum([0, *map(len, sets)])
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(needs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["k", "n", "shared", "hashes"])
-
-    return run
+def keys_of(s: np.ndarray) -> np.ndarray:
+    """Keys of a set: the sums of its classes, in its own range of sizes and, if a linked set can be there, the next."""
+    n, out = len(s), []
+    for r in sorted({range_of(n), range_of(max(n, 5 * n // 4))}):
+        ends, functions = classes(r)
+        for f in range(functions):
+            h = s if f == 0 else np.sort(mixed(s, MIX[f]))
+            at = np.searchsorted(h, ends, "right")
+            total = np.cumsum(np.r_[np.uint64(0), h], dtype=np.uint64)[np.r_[0, at]]
+            full = np.flatnonzero(np.diff(np.r_[0, at]))
+            names = (full + (r << 40) + (f << 32)).astype(np.uint64) * MIX[1]
+            out.append(mixed(np.diff(total)[full] + names, MIX[2]))
+    return np.concatenate(out).view(np.int64)
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i in range(0, b.num_rows, ROWS):
-            yield b.slice(i, ROWS)
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
-def hashes(texts: DataFrame, whole: bool) -> DataFrame:
-    """(k, n, shared, hashes) of texts (k, text): the whole sets, or the drawn hashes of each."""
-    return texts.select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_hashes(whole), "k bigint, n bigint, shared bigint, hashes array<bigint>")
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of the runs of equal values."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return first, np.diff(np.r_[first, len(key)])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(deal, key, k, low): the first text of a key in a slice of rows is dealt by key; the others, with it as low, anywhere."""
+    words = Words()
+    for b in sliced(batches):
+        names = np.array(b.column(0).to_pylist(), np.int64)
+        sets = [keys_of(shingles(x.as_py(), words)) for x in b.column(1)]
+        key = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        k = np.repeat(names, [len(x) for x in sets])
+        order = np.lexsort((k, key))
+        key, k = key[order], k[order]
+        first, n = runs(key)
+        low = np.repeat(k[first], n)
+        lead = np.zeros(len(key), bool)
+        lead[first] = True
+        # A leader with followers is marked by a low of its own.
+        follows = np.repeat(n > 1, n)
+        deal = np.where(lead, key, key ^ k)
+        yield pa.RecordBatch.from_arrays([pa.array(deal, pa.int64()), pa.array(key, pa.int64()), pa.array(k, pa.int64()), pa.array(low, pa.int64(), mask=~follows)], ["deal", "key", "k", "low"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, k, low) of rows (key, k, low) in order of (key, k) that meet another of their key here, or have a low already."""
+    last: tuple | None = None  # (key, least k, whether its first row is still to be given out)
+    for b in batches:
+        key, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+        null = b.column(2).is_null().to_numpy(zero_copy_only=False)
+        low = np.where(null, k, b.column(2).fill_null(0).to_numpy())
+        follower = ~null & (low != k)
+        out = [(key[follower], k[follower], low[follower])]
+        key, k, led = key[~follower], k[~follower], (~null)[~follower]
+        if len(key):
+            first, n = runs(key)
+            least, whole = k[first], n > 1
+            if last and last[0] == key[0]:
+                least[0], whole[0] = last[1], True
+                if last[2]:
+                    out.append((np.array([last[0]]), np.array([last[1]]), np.array([last[1]])))
+            given = np.repeat(whole, n) | led
+            out.append((key[given], k[given], np.repeat(least, n)[given]))
+            last = (key[-1], least[-1], not given[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["key", "k", "low"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, n, bits, hashes): the whole sets and their parity bitmaps."""
+    words = Words()
+    for b in sliced(batches):
+        sets, bits = [], []
+        for x in b.column(1):
+            sets.append(shingles(x.as_py(), words))
+            flags = np.bincount((sets[-1] % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1 == 1
+            bits.append(np.packbits(flags).tobytes())
+        sizes = [len(s) for s in sets]
+        values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64), pa.int64())
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists], ["k", "n", "bits", "hashes"])
 
 
 def text_key() -> Column:
@@ -114,82 +184,87 @@ def text_key() -> Column:
     return F.xxhash64(F.when(blank, F.lit("")).otherwise(F.col("text")))
 
 
-def keys(texts: DataFrame) -> DataFrame:
-    """(k, n, keys) of the texts (k, text) that may have a partner; equal rows count as one."""
-    drawn = stored(hashes(texts, False), "drawn")
-    entries = drawn.groupBy("k").agg(F.first("hashes").alias("hashes")).select("k", F.explode("hashes").alias("h"))
-    common = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    found = entries.join(common, "h").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
-    own = found.join(drawn.select("k", "n", "shared").distinct(), "k")
-    n_keys = (F.size("own") - F.col("shared") + 1).cast("int")
-    return own.where(n_keys > 0).select("k", "n", F.slice(F.transform("own", lambda x: x["h"]), F.lit(1), n_keys).alias("keys"))
+def members(texts: DataFrame) -> DataFrame:
+    """(key, k, low) of the keys that several texts (k, text) have; low is a text of the key, mostly the least."""
+    raw = texts.select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_keys, "deal bigint, key bigint, k bigint, low bigint")
+    dealt = raw.repartition("deal").sortWithinPartitions("key", "k")
+    return dealt.select("key", "k", "low").mapInArrow(_members, "key bigint, k bigint, low bigint")
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        out = []
-        for x in b.column(1):
-            h = x.values.to_numpy().view(np.uint64) % np.uint64(64 * BITS)
-            out.append(np.packbits(np.bincount(h.astype(np.int64), minlength=64 * BITS) & 1 == 1).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["k", "bits"])
+def _near(nearest: bool):
+    """Pairs (a, b), a > b, of blocks (ms, os) of members (k, n, r, bits) that may be linked and differ in r; nearest: of each member of ms the nearest only."""
 
+    def unpack(x) -> tuple:
+        k, n, r = (x.values.field(c).to_numpy() for c in ("k", "n", "r"))
+        return k, n, r, np.frombuffer(b"".join(x.values.field("bits").to_pylist()), np.uint64).reshape(-1, BITS)
 
-def _pairs(nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, 16):
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x in b.column(0):
-                k, n, r, bits = (x.values.field(c) for c in ("k", "n", "r", "bits"))
-                order = np.argsort(k.to_numpy())
-                k, n, r = (c.to_numpy()[order] for c in (k, n, r))
-                bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, BITS)[order]
-                for i in range(0, len(k), BLOCK):
-                    mine, low = slice(i, i + BLOCK), min(i + BLOCK, len(k))
-                    apart = np.zeros((low - i, low), np.int64)
+            for x, y in zip(b.column(0), b.column(1)):
+                (k, n, r, bits), (ok, on, other, obits) = unpack(x), unpack(y)
+                for i in range(0, len(k), 128):
+                    mine = slice(i, i + 128)
+                    apart = abs(n[mine, None] - on[None, :])
+                    counted = np.zeros_like(apart)
                     for w in range(BITS):
-                        apart += np.bitwise_count(bits[mine, None, w] ^ bits[None, :low, w])
-                    total, gap = n[mine, None] + n[None, :low], abs(n[mine, None] - n[None, :low])
-                    meet = (9 * np.maximum(apart, gap) <= total) & (np.arange(low)[None, :] < np.arange(i, low)[:, None]) & (r[mine, None] != r[None, :low])
+                        counted += np.bitwise_count(bits[mine, None, w] ^ obits[None, :, w])
+                    apart = np.maximum(apart, counted)
+                    meet = (9 * apart <= n[mine, None] + on[None, :]) & (r[mine, None] != other[None, :])
                     if nearest:
                         at = np.where(meet, apart, 1 << 40).argmin(1)
-                        p = np.flatnonzero(meet[np.arange(low - i), at])
+                        p = np.flatnonzero(meet[np.arange(len(at)), at])
                         q = at[p]
                     else:
                         p, q = np.nonzero(meet)
-                    left.append(k[i + p])
-                    right.append(k[q])
+                    left.append(np.maximum(k[i + p], ok[q]))
+                    right.append(np.minimum(k[i + p], ok[q]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (left, right)], ["a", "b"])
 
     return run
 
 
-def similar(members: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs (a, b), a > b, at similarity 0.8 or more, of members (k, n, r, bits, keys) that share a key and differ in r; nearest: for each member and key the nearest lower one only is tried."""
-    entries = members.select(F.explode("keys").alias("h"), F.struct("k", "n", "r", "bits").alias("m"))
-    groups = entries.groupBy("h").agg(F.collect_list("m").alias("ms")).where("size(ms) > 1").select("ms")
-    pairs = groups.mapInArrow(_pairs(nearest), "a bigint, b bigint").distinct()
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) at similarity 0.8 or more."""
     side = lambda c: sets.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def across(met: DataFrame, sets: DataFrame, at: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs (a, b) that may be linked, among the texts of a key and in different components (node, root)."""
+    placed = sets.select("k", "n", "bits").join(at, F.col("k") == F.col("node"), "left").select("k", "n", "bits", F.coalesce("root", "k").alias("r"))
+    rooted = met.select("key", "k").join(placed.select("k", "r"), "k")
+    sizes = rooted.groupBy("key", "r").agg(F.count("*").alias("c"))
+    split = sizes.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("roots"), F.max(F.struct("c", "r")).alias("main")).where("roots > 1").select("key", "c", F.col("main.c").alias("mc"), F.col("main.r").alias("mr"))
+    rows = stored(rooted.join(split, "key"), "across")
+    full = rows.join(placed.drop("r"), "k").withColumn("m", F.struct("k", "n", "r", "bits"))
+    block = lambda n: F.pmod(F.xxhash64("k"), F.ceil(n / BLOCK))
+    rest = full.where("r <> mr").groupBy("key", block(F.col("c") - F.col("mc")).alias("i")).agg(F.collect_list("m").alias("ms"))
+    every = full.groupBy("key", block(F.col("c")).alias("j")).agg(F.collect_list("m").alias("os"))
+    return rest.join(every, "key").select("ms", "os").mapInArrow(_near(nearest), "a bigint, b bigint").distinct()
+
+
 def roots(texts: DataFrame) -> DataFrame:
-    """(node, root), a > b linked transitively, of the texts (k, text) that have a near copy."""
-    keyed = stored(keys(texts), "keys")
-    sets = stored(hashes(texts.join(keyed.select("k"), "k").dropDuplicates(["k"]), True), "sets")
-    members = stored(keyed.join(sets.select("k", "hashes").mapInArrow(_bits, "k bigint, bits binary"), "k"), "members")
-    first = stored(similar(members.withColumn("r", F.col("k")), sets, True), "links")
-    at = components(first)
-    placed = members.join(at, F.col("k") == F.col("node"), "left").withColumn("r", F.coalesce("root", "k")).select(*members.columns, "r")
-    return components(stored(similar(placed, sets, False), "links").union(first))
+    """(node, root), a > b linked transitively, of the texts (k, text) that have a near copy; k is unique."""
+    met = stored(members(texts), "members")
+    sets = stored(texts.join(met.select("k").distinct(), "k").select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "k bigint, n bigint, bits binary, hashes array<bigint>"), "sets")
+    first = met.where("k <> low").groupBy("k", "low").agg(F.count("*").alias("c")).groupBy("k").agg(F.max(F.struct("c", F.col("low").alias("o"))).alias("best"))
+    pairs = first.select(F.greatest("k", "best.o").alias("a"), F.least("k", "best.o").alias("b")).distinct()
+    links = stored(checked(pairs, sets), "links")
+    for nearest in (True, False):
+        more = stored(across(met, sets, components(links), nearest), "candidates")
+        links = stored(links.union(checked(more, sets)), "links")
+    return components(links)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component of docs."""
-    rows = docs.withColumn("_k", text_key())
-    named = rows.groupBy(F.col("_k").alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_n"), F.coalesce("doc_id", F.lit(0)).alias("_d"))).alias("row"))
-    placed = named.join(roots(rows.select(F.col("_k").alias("k"), "text")), F.col("k") == F.col("node"), "left")
-    best = placed.groupBy(F.coalesce("root", "k")).agg(F.min(F.struct("row", "k")).alias("best")).select(F.col("best.k").alias("_k"), "best.row._n", "best.row._d")
-    mine = rows.withColumn("_n", F.col("doc_id").isNull()).withColumn("_d", F.coalesce("doc_id", F.lit(0)))
-    by = ["_k", "_n", "_d"]
-    return mine.join(best, by).dropDuplicates(by).select(*docs.columns)
+    doc_id = F.coalesce(F.col("doc_id"), F.lit(0))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key().alias("k"), F.col("doc_id").isNull().alias("n"), doc_id.alias("d"), "text")
+    named = rows.groupBy("k").agg(F.min(F.struct("n", "d")).alias("id"))
+    texts = rows.groupBy("k").agg(F.min("text").alias("text"))
+    placed = named.join(roots(stored(texts, "texts")), F.col("k") == F.col("node"), "left")
+    best = placed.groupBy(F.coalesce("root", "k")).agg(F.min(F.struct("id", "k")).alias("best")).select("best.k", "best.id.n", "best.id.d")
+    by = ["k", "n", "d"]
+    return rows.drop("text").join(best, by).dropDuplicates(by).select("row.*")

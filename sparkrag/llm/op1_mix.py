@@ -46,12 +46,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) ->
     return level.select("key", "source_size", target.alias("target"), (digits / 4294967296.0).alias("offset"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for each row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, *more: str, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) and the columns `more` for each row of docs (doc_id, text, source)."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     part = F.coalesce(F.pmod("doc_id", F.lit(PARTS)), F.lit(-1))
-    sized = docs.select("doc_id", "source", key.alias("key"), size.alias("size"), part.alias("part"))
+    sized = docs.select("doc_id", "source", key.alias("key"), size.alias("size"), part.alias("part"), *more)
     targets = source_targets(sized, weights, share, most)
     ranked = rank_in_group(sized, ["key"], ["size", "doc_id"], "part", "rank")
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     copies = F.least(F.lit(most), crossed(F.col("rank") + 1) - crossed(F.col("rank")))
     return (
         ranked.join(targets, "key").withColumn("step", step).withColumn("copies", copies.cast("int"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more)
     )
 
 

@@ -2,7 +2,8 @@
 
 Boosted trees of depth DEPTH over text statistics are cut into rules (the conjunction of conditions on each path), a
 logistic model with lasso weights picks among the rules, and the picked ones compile into one Spark column. Training
-uses at most SAMPLE labelled rows, those of least (crc32 of doc_id, doc_id); statistics and scores cover all rows.
+uses at most SAMPLE labelled rows, those of least (crc32 of doc_id, doc_id), also where ids repeat; statistics and scores
+cover all rows.
 Null and empty texts have statistics of zero and are scored as such; rows without label are scored only, null labels
 are not learnt from; with labels of one kind, or none, every score is the share of label 1 (0.5 without labels);
 repeated rows get equal scores; an empty table gives no rows; further columns are ignored.
@@ -123,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     some = known.orderBy(fold, "doc_id", "quality").limit(sample)
     # The sample has at most `sample` rows, so it may be broadcast.
     rows = measured(docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id"))
-    data = rows.join(F.broadcast(some), "doc_id").orderBy("doc_id", "quality", *FEATURES).toPandas()
+    # Repeated ids multiply in the join, so the bound holds for what comes out of it.
+    data = rows.join(F.broadcast(some), "doc_id").orderBy(fold, "doc_id", "quality", *FEATURES).limit(sample).toPandas()
     return fit(data[list(FEATURES)].to_numpy(float), data["quality"].to_numpy(float))
 
 

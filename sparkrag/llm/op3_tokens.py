@@ -5,8 +5,9 @@ entries (shared key prefix, key rest, value), each compressed, then a sparse ind
 of every block), a Bloom filter over all keys and a fixed footer. A lookup asks the filter, bisects the index and
 reads one block. Keys are doc_ids as big-endian bytes in ascending order (null below all), values are token ids as
 little-endian unsigned 32-bit integers.
-Null texts are empty (the end id alone), rows with equal doc_id are entries of their own in any order, an empty
-table gives shards without entries and no rows, further columns are ignored, texts are encoded whole.
+Null texts are empty (the end id alone), rows with equal doc_id are entries of their own in order of a hash of their
+text and may span shards, an empty table gives shards without entries and no rows, further columns are ignored, texts
+are encoded whole. Shards have about SHARD_BYTES of text at most, so the keys that a writer notes stay few.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import functools
 import hashlib
 import itertools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -37,10 +40,18 @@ BITS_PER_KEY, PROBES = 10, 7
 END = 1
 #: Fixed value: a pre-tokenizer pattern that matches no white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What special tokens begin with; a digit, and so a token of its own; new words encoded at once.
+SPECIAL, PARTING, JOINED = b"<|", b"0", 64
+#: Bytes of text encoded at once, or one text if it is longer.
+BYTES = 1 << 23
+#: Text bytes of a shard at most, and at least if there are fewer shards than shuffle partitions.
+SHARD_BYTES, LEAST_BYTES = 1 << 27, 1 << 22
 #: Encoded words are remembered, about CACHED at most, none longer than LONG bytes; when full, the first KEPT stay.
 CACHED, KEPT, LONG = 1 << 19, 1 << 16, 64
-LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
-LETTERS, MARKS = frozenset(b"abcdefghijklmnopqrstuvwxyz"), frozenset(b".,;:!?")
+SPACED = bytes(32 if x == 10 else x for x in range(256))
+LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in SPACED)
+#: A letter or digit, then a run of ASCII marks up to the end: two parts for the tokenizer.
+MARKED = re.compile(rb"(?s)(.*[a-z0-9])([!-/:-@\[-`{-~]+)").fullmatch
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -51,9 +62,14 @@ def doc_of(key: bytes) -> int | None:
     return None if key == b"\0" else int.from_bytes(key[1:], "big") - (1 << 63)
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
-    return [(a + i * b) % bits for i in range(PROBES)]
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
+
+
+def _probes(digests: bytes, bits: int) -> np.ndarray:
+    """PROBES bit numbers for each digest of 16 bytes."""
+    a, b = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    return (a[:, None] + np.arange(PROBES, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
 
 
 class Writer:
@@ -61,7 +77,7 @@ class Writer:
 
     def __init__(self, out):
         self.out, self.at, self.rows, self.index = out, 0, 0, []
-        self.hashes: list[bytes] = []
+        self.digests = bytearray()
         self.block, self.last = bytearray(), b""
 
     def add(self, key: bytes, value: bytes) -> None:
@@ -70,8 +86,8 @@ class Writer:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         self.block += struct.pack("<BBI", shared, len(key) - shared, len(value)) + key[shared:] + value
-        if not self.hashes or key != self.last:
-            self.hashes.append(key)
+        if not self.rows or key != self.last:
+            self.digests += _digest(key)
         self.last, self.rows = key, self.rows + 1
         if len(self.block) >= BLOCK_BYTES:
             self.flush()
@@ -85,13 +101,13 @@ class Writer:
 
     def finish(self) -> None:
         self.flush()
-        bits = max(64, BITS_PER_KEY * len(self.hashes))
-        bloom = bytearray((bits + 7) // 8)
-        for key in self.hashes:
-            for p in _probes(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        bits = max(64, BITS_PER_KEY * (len(self.digests) // 16))
+        flags = np.zeros(bits, bool)
+        for lo in range(0, len(self.digests), 1 << 20):
+            flags[_probes(bytes(self.digests[lo : lo + (1 << 20)]), bits)] = True
+        bloom = np.packbits(flags, bitorder="little")
         index = zstandard.compress(json.dumps(self.index).encode())
-        self.out.write(index + bytes(bloom))
+        self.out.write(index + bloom.tobytes())
         self.out.write(struct.pack("<QQQQQ", self.at, len(index), len(bloom), bits, self.rows) + MAGIC)
 
 
@@ -127,7 +143,7 @@ class Reader:
     def get(self, doc_id: int | None) -> np.ndarray | None:
         """Token ids of a document, or None."""
         key = key_of(doc_id)
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits)):
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(_digest(key), self.bits)[0].tolist()):
             return None
         i = bisect.bisect_left(self.last, key)
         for k, v in self.entries(i) if i < len(self.index) else ():
@@ -136,20 +152,35 @@ class Reader:
         return None
 
 
+class Seen(dict):
+    """Ids of words; notes words that it lacks in `new`."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.new.append(word)
+
+
 class Encoder:
     """Token ids of whole texts as bytes, each followed by END.
 
     Texts are cut at spaces and line feeds, across which the tokenizer must neither join, change nor emit anything;
     `exact` finds that in a tokenizer's definition. Frequent words are encoded once, without case (but where a special
-    token could begin) and without one mark after a letter, which is a token of its own. Other tokenizers get texts whole.
+    token could begin) and without the marks at their end, which are encoded apart. New words are encoded JOINED at
+    a time, parted by a digit that is one token for itself; words that hold it are encoded alone. Other tokenizers get
+    texts whole.
     """
 
     def __init__(self, tokenizer: str):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(tokenizer)
-        self.by_word = self.exact(json.loads(self.encoder.to_str()))
-        self.seen: dict[bytes, bytes] = {b"": b""}
+        parting = self.encoder.encode(PARTING.decode(), add_special_tokens=False).ids
+        self.by_word = len(parting) == 1 and self.exact(json.loads(self.encoder.to_str()))
+        self.parting = np.uint32(parting[0] if parting else 0)
+        self.seen = Seen({b"": b""})
 
     @staticmethod
     def exact(definition: dict) -> bool:
@@ -161,36 +192,77 @@ class Encoder:
             and (not norm or "normalizers" in norm)
             and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
             and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
-            and not any(x["lstrip"] or x["rstrip"] or any(map(str.isspace, x["content"])) for x in definition["added_tokens"])
+            and all(x["content"].startswith(SPECIAL.decode()) and not x["lstrip"] and not x["rstrip"] and not any(map(str.isspace, x["content"])) for x in definition["added_tokens"])
             and not definition["model"].get("dropout")
         )
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        end = np.array([END], "<u4").tobytes()
-        if not self.by_word:
-            return [x + end for x in self.whole(texts)]
+    def joined(self, words: list[bytes]) -> list[bytes]:
+        """As whole, of words without PARTING."""
         out = []
-        for text in texts:
-            if len(self.seen) > CACHED:
-                self.seen = dict(itertools.islice(self.seen.items(), KEPT))
-            seen, raw = self.seen, text.encode()
-            words = (raw if b"<|" in raw else raw.translate(LOWER)).replace(b"\n", b" ").split(b" ")
-            new = set(words).difference(seen)
-            marked = {w for w in new if len(w) > 1 and w[-1] in MARKS and w[-2] in LETTERS}
-            plain = sorted((new - marked | {w[:-1] for w in marked} | {w[-1:] for w in marked}).difference(seen))
-            for lo in range(0, len(plain), 512):
-                some = plain[lo : lo + 512]
-                seen.update(zip(some, self.whole([w.decode() for w in some])))
-            for w in marked:
-                seen[w] = seen[w[:-1]] + seen[w[-1:]]
-            out.append(b"".join(map(seen.__getitem__, words)) + end)
-            for w in (*plain, *marked):
+        texts = [b" ".join(x for w in words[i : i + JOINED] for x in (w, PARTING)).decode() for i in range(0, len(words), JOINED)]
+        for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for end in (4 * np.flatnonzero(ids == self.parting)).tolist():
+                out.append(raw[at:end])
+                at = end + 4
+        return out
+
+    def learn(self, words: set[bytes]) -> list[bytes]:
+        """Puts the ids of words in seen; returns what it put there."""
+        seen = self.seen
+        marked = {w: m.groups() for w in words if (m := MARKED(w)) and SPECIAL not in w}
+        parts = {x for pair in marked.values() for x in pair}
+        plain = sorted(w for w in words.difference(marked) | parts if w not in seen)
+        alone = [w for w in plain if PARTING in w]
+        rest = [w for w in plain if PARTING not in w]
+        for some, encode in ((alone, lambda x: self.whole([w.decode() for w in x])), (rest, self.joined)):
+            for lo in range(0, len(some), 2048):
+                seen.update(zip(some[lo : lo + 2048], encode(some[lo : lo + 2048]), strict=True))
+        for w, (stem, marks) in marked.items():
+            seen[w] = seen[stem] + seen[marks]
+        return [*plain, *marked]
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.seen) > CACHED:
+            self.seen = Seen(itertools.islice(self.seen.items(), KEPT))
+        seen = self.seen
+        ids = list(map(seen.__getitem__, words))
+        if seen.new:
+            put = self.learn(set(seen.new))
+            seen.new.clear()
+            ids = list(map(seen.__getitem__, words))
+            for w in put:
                 if len(w) > LONG:
                     del seen[w]
-        return out
+        return ids
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text of a string array without nulls."""
+        end = np.array([END], "<u4").tobytes()
+        if not self.by_word:
+            return [x + end for x in self.whole(texts.to_pylist())]
+        if not len(texts):
+            return []
+        raw = b"".join(texts.cast(pa.binary()).to_pylist())
+        starts = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())].astype(np.int32)
+        flat = raw.translate(SPACED if SPECIAL in raw else LOWER)
+        cut = pc.split_pattern(pa.StringArray.from_buffers(len(texts), pa.py_buffer(starts), pa.py_buffer(flat)), " ")
+        known = cut.values.dictionary_encode()
+        each = [*self.ids_of(known.dictionary.cast(pa.binary()).to_pylist()), end]
+        # The ids of every word and, after the last word of a text, END, gathered out of those of the distinct words.
+        at = np.insert(known.indices.to_numpy(), cut.offsets.to_numpy()[1:], len(each) - 1)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first = np.cumsum(size) - size
+        n = size[at]
+        to = np.cumsum(n)
+        ids = np.frombuffer(b"".join(each), "<u4")[np.arange(to[-1]) + np.repeat(first[at] - (to - n), n)].tobytes()
+        ends = [0, *(4 * to[cut.offsets.to_numpy()[1:] + np.arange(len(texts))]).tolist()]
+        return [ids[i:j] for i, j in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(1)
@@ -199,6 +271,17 @@ def encoder_of(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
 
 
+def portions(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about BYTES bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < b.num_rows:
+        done = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + BYTES, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | None = None) -> DataFrame:
     """(shard, file, n_rows, n_ids) of the shards written; a retried task writes a file of another name."""
 
@@ -214,19 +297,22 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | Non
         with fs.open_output_stream(file, compression=None) as out:
             w = Writer(out)
             for b in batches:
-                keys = b.column(0).to_pylist()
-                for lo in range(0, len(keys), 64):
-                    texts = [x or "" for x in b.column(1).slice(lo, 64).to_pylist()]
-                    for doc, value in zip(keys[lo : lo + 64], encoder.encode(texts)):
+                for part in portions(b):
+                    for doc, value in zip(part.column(0).to_pylist(), encoder.encode(pc.fill_null(part.column(1), ""))):
                         ids += len(value) // 4
                         w.add(key_of(doc), value)
             w.finish()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_rows": pa.array([w.rows], pa.int64()), "n_ids": pa.array([ids], pa.int64())}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select("doc_id", "text")
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return dealt.mapInArrow(write, "shard int, file string, n_rows bigint, n_ids bigint")
+    if shards is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shards = max(1, -(-size // SHARD_BYTES), min(tasks, -(-size // LEAST_BYTES)))
+    # Rows of one doc_id are parted by their text, so that a frequent one may span shards.
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    dealt = rows.repartitionByRange(shards, *by).sortWithinPartitions(*by)
+    return dealt.select("doc_id", "text").mapInArrow(write, "shard int, file string, n_rows bigint, n_ids bigint")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
@@ -250,8 +336,9 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                 if done:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], schema=schema)
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return starts.select("file", "start").repartition(n).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A task reads one file, or a few.
+    n = manifest.count()
+    return starts.select("file", "start").repartition(max(1, n)).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -15,6 +15,7 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -25,7 +26,9 @@ from .common import shared_dir, stored, table
 
 LEAST = 1000
 #: Ranges closer than GAP are read as one, up to CHUNK bytes.
-GAP, CHUNK = 1 << 16, 1 << 23
+GAP, CHUNK = 1 << 16, 1 << 22
+#: Archive bytes that a task reads at most, and at least where there are fewer tasks than shuffle partitions.
+TASK, LEAST_TASK = 1 << 27, 1 << 20
 INDEX = "page_id bigint, url string, digest string, file string, offset bigint, length bigint"
 
 
@@ -33,10 +36,17 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, payload binary, digest, refers_to); refers_to is null for responses."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("large", F.length("payload") >= LEAST)
-    firsts = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(firsts, "digest", "left")
-    refers = F.when(F.col("large") & (F.col("page_id").isNull() | (F.col("page_id") != F.col("_last"))), F.col("_last"))
-    return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    firsts = stored(rows.where("large").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1"), "copies")
+    # Payloads that more than a thousandth of the copies have, less than a thousand, are broadcast; small ones are not looked up.
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = [r[0] for r in firsts.where(F.col("n") > max(total // 1000, 100)).select("digest").collect()]
+    hot = F.col("digest").isin(frequent) if frequent else F.lit(False)
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("last")), F.col("last"))
+    columns = ["page_id", "url", "payload", "digest"]
+    parts = [rows.where("not large").select(*columns, F.lit(None).cast("bigint").alias("refers_to")), rows.where("large").where(~hot).join(firsts, "digest", "left").select(*columns, refers.alias("refers_to"))]
+    if frequent:
+        parts.append(rows.where("large").where(hot).join(F.broadcast(firsts.where(hot)), "digest").select(*columns, refers.alias("refers_to")))
+    return reduce(DataFrame.union, parts)
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -115,7 +125,11 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
         if run:
             yield load(run)
 
-    dealt = index.select("file", "offset", "length").withColumn("_c", F.floor(F.col("offset") / CHUNK)).repartition("file", "_c")
+    # As many tasks as the bytes to read ask for; the rows of an index are few and would all be put in one.
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-size // TASK), min(tasks, -(-size // LEAST_TASK)))
+    dealt = index.select("file", "offset", "length").withColumn("_c", F.floor(F.col("offset") / CHUNK)).repartition(n, "file", "_c")
     return dealt.sortWithinPartitions("file", "offset").drop("_c").mapInArrow(read, READ)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import join_hot, stored, table
 
 RADIUS = 2
 BLOCK = 1 << 15
@@ -84,19 +84,29 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select(F.explode(F.filter("fps", lambda x: x != F.array_min("fps"))).alias("a"), F.array_min("fps").alias("b")).distinct()
 
 
+def _seen(edges: DataFrame):
+    """Number of edges and a sum of their hashes, to tell whether a round changed any."""
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b): alternating large and small stars, each round stored in the shared folder."""
+    """(node, root) for each node of edges (a, b): alternating large and small stars, each round stored in the shared folder.
+
+    The least neighbour of a node of many edges is broadcast to them (`join_hot`), so a large component is no single task.
+    """
     edges = stored(edges, "edges")
+    before = _seen(edges)
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stored(join_hot(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "stars")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        after = stored(small, "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = after
+        small = join_hot(large, low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        edges = stored(small, "edges")
+        after = _seen(edges)
+        if after == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before = after
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -106,8 +116,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(fps.select("fp")))
     placed = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(classes, "fp")
+    classes = stored(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "classes")
+    return join_hot(rows, classes, "fp")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

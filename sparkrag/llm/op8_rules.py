@@ -3,11 +3,12 @@
 Every rule is evaluated once per document; the ledger holds one failure bit per rule and the measurements.
 Policies (named versions: which bits reject) and ablations (which documents one rule alone rejects) are bit
 operations on the ledger, without another pass over texts. Null and empty texts have no words and fail
-`few_words`; repeated rows are judged alike; an empty table gives no rows; further columns are ignored.
+`few_words`; repeated rows are judged alike; an empty table gives no rows; further columns are kept under their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import let, table, words
 
 SYMBOLS = "#*$%&|<>"
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measurements(text: Column) -> Column:
@@ -51,13 +53,13 @@ def measurements(text: Column) -> Column:
 
 
 #: Rules in bit order: name and failing condition over the measurements.
-RULES: tuple[tuple[str, Column | str], ...] = (
-    ("few_words", "n_words < 50"),
-    ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "5 * n_symbols > n_words AND n_symbols >= 20"),
-    ("long_words", "word_chars > 25 * n_words"),
-    ("short_words", "word_chars < 2 * n_words"),
-    ("repeated_lines", "n_dup_lines > 5 AND 100 * n_dup_lines > n_words * 5"),
+RULES: tuple[tuple[str, Callable[[Column], Column]], ...] = (
+    ("few_words", lambda m: m["n_words"] < 50),
+    ("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbols", lambda m: (5 * m["n_symbols"] > m["n_words"]) & (m["n_symbols"] >= 20)),
+    ("long_words", lambda m: m["word_chars"] > 25 * m["n_words"]),
+    ("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    ("repeated_lines", lambda m: (m["n_dup_lines"] > 5) & (100 * m["n_dup_lines"] > m["n_words"] * 5)),
 )
 #: Policies by version: the rules whose failure rejects.
 POLICIES = {"base": ("few_words", "repeated_windows"), "v1": ("few_words", "repeated_windows", "symbols", "long_words", "short_words", "repeated_lines")}
@@ -67,33 +69,31 @@ def mask(names) -> int:
     return sum(1 << i for i, (name, _) in enumerate(RULES) if name in names)
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """docs with the measurements and `failures`, a bitmask over RULES."""
-    # `filter` on a never-null struct keeps the optimizer from copying the costly expression into each rule.
-    measured = docs.withColumn("_m", measurements(F.col("text")))
-    fields = [F.col(f"_m.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    flat = measured.select(*[F.col(c) for c in docs.columns if c not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failures"}], *fields)
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)])
-    return flat.withColumn("failures", bits.cast("long"))
+def ledger(docs: DataFrame, out: str = "ledger") -> DataFrame:
+    """docs with the struct `out`: the measurements FIELDS and `failures`, a bitmask over RULES. `out` must be no column of docs."""
+    bits = lambda m: reduce(lambda a, b: a.bitwiseOR(b), [F.when(rule(m), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)])
+    full = lambda m: F.struct(*[m[x].alias(x) for x in FIELDS], bits(m).cast("long").alias("failures"))
+    return docs.select("*", let(measurements(F.col("text")), full).alias(out))
 
 
-def apply_policy(rows: DataFrame, version: str = "v1", out: str = "kept") -> DataFrame:
-    return rows.withColumn(out, F.col("failures").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
+def fails(version: str, of: str = "ledger") -> Column:
+    """Whether a policy rejects a row, by its ledger alone."""
+    return F.col(of)["failures"].bitwiseAND(F.lit(mask(POLICIES[version]))) != 0
 
 
-def ablation(rows: DataFrame, version: str = "v1") -> DataFrame:
+def ablation(rows: DataFrame, version: str = "v1", of: str = "ledger") -> DataFrame:
     """Per rule of a policy: documents that fail it, and those that only it rejects; plus bit_or and bit_and of all failures."""
     chosen = mask(POLICIES[version])
-    masked = F.col("failures").bitwiseAND(F.lit(chosen))
+    failures = F.col(of)["failures"]
+    masked = failures.bitwiseAND(F.lit(chosen))
     sums = [F.count_if(masked.bitwiseAND(F.lit(1 << i)) != 0).alias(f"fails_{n}") for i, (n, _) in enumerate(RULES) if chosen >> i & 1]
     alone = [F.count_if(masked == (1 << i)).alias(f"only_{n}") for i, (n, _) in enumerate(RULES) if chosen >> i & 1]
-    return rows.agg(*sums, *alone, F.bit_or("failures").alias("any_failed"), F.bit_and("failures").alias("all_failed"))
+    return rows.agg(*sums, *alone, F.bit_or(failures).alias("any_failed"), F.bit_and(failures).alias("all_failed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    rows = apply_policy(rows, "v1").withColumn("base_failed", F.col("failures").bitwiseAND(F.lit(mask(POLICIES["base"]))) != 0)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rows.select("doc_id", *[f"ledger.{x}" for x in FIELDS], fails("base").alias("base_failed"), (~fails("v1")).alias("kept"))
 
 
 SQL = r"""

@@ -1,15 +1,17 @@
 """License scan by ordered signature rules.
 
-A text is reduced to its lower-case words joined by one space; rules are regexes over that form. Each rule has
-keywords, and runs only on texts that hold all of them. Detections are intervals of words; in order of rule priority,
-then length, a detection that lies within one already kept is suppressed. The fixed base phrases are all counted,
+A text is reduced to its lower-case words joined by one space; the signatures of op9_signatures.py are regexes over that
+form. Each has keywords, and runs only on texts that hold all of them. Detections are intervals of words; in order of
+priority, then length, then place, a detection that lies within one already kept is suppressed. The fixed base phrases are all counted,
 overlaps included, and their labels always stay.
 Null and empty texts have no words, no detections and score 0; repeated rows are scanned alike; an empty table
-gives no rows; further columns are ignored. Texts are scanned whole.
+gives no rows; further columns are ignored. Texts are scanned whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,77 +21,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .op9_signatures import SIGNATURES
 
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: License names (regex over words), label, and a keyword that every match holds.
-NAMES = (
-    ("(?:gnu )?general public license|gnu gpl|gpl", "gpl", ("general public", "gpl")),
-    ("(?:gnu )?lesser general public license|gnu lgpl|lgpl", "lgpl", ("lesser general", "lgpl")),
-    ("(?:gnu )?affero general public license|gnu agpl|agpl", "agpl", ("affero", "agpl")),
-    ("(?:gnu )?free documentation license|gfdl", "gfdl", ("free documentation", "gfdl")),
-    ("mozilla public license|mpl", "mpl", ("mozilla", "mpl")),
-    ("eclipse public license|epl", "epl", ("eclipse", "epl")),
-    ("common development and distribution license|cddl", "cddl", ("common development", "cddl")),
-    ("apache(?: software)? license", "apache", ("apache",)),
-    ("mit license|expat license", "mit", ("mit", "expat")),
-    ("bsd license|berkeley software distribution license", "bsd", ("bsd", "berkeley")),
-    ("isc license", "isc", ("isc",)),
-    ("zlib license", "zlib", ("zlib",)),
-    ("boost software license|bsl", "bsl", ("boost", "bsl")),
-    ("artistic license", "artistic", ("artistic",)),
-    ("python software foundation license|psf license", "psf", ("python", "psf")),
-    ("academic free license|afl", "afl", ("academic", "afl")),
-    ("open software license|osl", "osl", ("open software", "osl")),
-    ("european union public licen[cs]e|eupl", "eupl", ("european", "eupl")),
-    ("cecill(?: license)?", "cecill", ("cecill",)),
-    ("microsoft public license|ms pl", "ms-pl", ("microsoft", "ms pl")),
-    ("sil open font license|ofl", "ofl", ("open font", "ofl")),
-    ("open database license|odbl", "odbl", ("open database", "odbl")),
-    ("creative commons attribution|cc by", "cc-by", ("creative", "cc by")),
-    ("creative commons attribution share ?alike|cc by sa", "cc-by-sa", ("creative", "cc by")),
-    ("creative commons attribution no ?deriv(?:ative)?s(?: works)?|cc by nd", "cc-by-nd", ("creative", "cc by")),
-    ("creative commons attribution non ?commercial|cc by nc", "cc-by-nc", ("creative", "cc by")),
-    ("creative commons attribution non ?commercial share ?alike|cc by nc sa", "cc-by-nc-sa", ("creative", "cc by")),
-    ("creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: works)?|cc by nc nd", "cc-by-nc-nd", ("creative", "cc by")),
-    ("creative commons zero|cc0", "cc0", ("creative", "cc0")),
-    ("unlicense", "unlicense", ("unlicense",)),
-    ("do what the fuck you want to public license|wtfpl", "wtfpl", ("want", "wtfpl")),
-)
-#: Sentence frames by falling priority and weight; {n} is the name, {v} an optional version.
-FRAMES = (
-    (0.98, "spdx license identifier (?:{n}){v}"),
-    (0.95, "(?:licensed|released|distributed|available|published|provided) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:{n}){v}"),
-    (0.93, "(?:under|subject to) (?:the )?terms (?:and conditions )?of (?:the )?(?:{n}){v}"),
-    (0.9, "under (?:the |a |an )?(?:{n}){v}"),
-    (0.85, "(?:{n})(?: license)?(?: version)? v?(?P<v2>[0-9]+)(?: [0-9]+)?(?: international| unported| or later)?"),
-    (0.8, "(?:the )?(?:{n}) license"),
-    (0.75, "see (?:the )?(?:{n}){v}"),
-    (0.7, "licen[cs]e (?:is )?(?:the )?(?:{n}){v}"),
-)
-VERSION = "(?: license)?(?: version)?(?: v?(?P<v>[0-9]+)(?: [0-9]+)?)?"
-#: Whole clauses: regex, label, keywords, weight.
-CLAUSES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", ("hereby granted",), 0.99),
-    ("redistribution and use in source and binary forms with or without modification", "bsd", ("redistribution and use",), 0.99),
-    ("permission to use copy modify and or distribute this software for any purpose", "isc", ("permission to use",), 0.97),
-    ("this is free and unencumbered software released into the public domain", "unlicense", ("unencumbered",), 0.99),
-    ("released into the public domain|dedicated to the public domain", "public-domain", ("public domain",), 0.8),
-    ("all rights reserved", "all-rights-reserved", ("rights reserved",), 0.5),
-    ("proprietary and confidential", "proprietary", ("proprietary",), 0.6),
-    ("creative commons licen[cs]e", "cc", ("creative",), 0.5),
-)
-
-
-def rules() -> list[tuple[int, float, re.Pattern, str, tuple[str, ...]]]:
-    """(priority, weight, pattern, label, keywords), every license name in every frame, by falling priority."""
-    out = [(w, f"(?:{p})", label, keys) for p, label, keys, w in CLAUSES]
-    # Longer names come first, so that a variant of a license wins over its stem on equal intervals.
-    for name, label, keys in sorted(NAMES, key=lambda x: -len(x[0])):
-        out += [(w, f.format(n=name, v=VERSION), label, keys) for w, f in FRAMES]
-    out.sort(key=lambda x: -x[0])
-    return [(i, w, re.compile(f"(?<= ){p}(?= )"), label, keys) for i, (w, p, label, keys) in enumerate(out)]
+def rules() -> list[tuple[int, float, str, tuple[str, ...], re.Pattern]]:
+    """(priority, weight, label, keywords, pattern) of every signature, by falling priority."""
+    out = []
+    for line in SIGNATURES.strip().splitlines():
+        head, keys, pattern = line.split(" :: ", 2)
+        priority, weight, label = head.split()
+        out.append((int(priority), float(weight), label, tuple(keys.split("+")), re.compile(f"(?<= )(?:{pattern})(?= )")))
+    return sorted(out, key=lambda x: -x[0])
+
+
+class Kept:
+    """Intervals kept so far that lie in no other: starts and ends both ascend."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Whether the interval lies in none kept before; then it is kept."""
+        i = bisect.bisect_right(self.starts, start)
+        if i and self.ends[i - 1] >= end:
+            return False
+        j = bisect.bisect_right(self.ends, end)
+        i = bisect.bisect_left(self.starts, start)
+        self.starts[i : max(i, j)], self.ends[i : max(i, j)] = [start], [end]
+        return True
 
 
 NOT_WORD = bytes(x for x in range(128) if not chr(x).isalnum())
@@ -100,34 +62,34 @@ class Scanner:
     def __init__(self):
         self.rules = rules()
         self.filter = ahocorasick.Automaton()
-        by_key: dict[str, list[int]] = {}
-        for i, r in enumerate(self.rules):
-            for key in r[4]:
-                by_key.setdefault(key, []).append(i)
-        for key, ids in by_key.items():
-            self.filter.add_word(key, ids)
+        for key in {k for r in self.rules for k in r[3]}:
+            self.filter.add_word(key, key)
         self.filter.make_automaton()
 
     def scan(self, text: bytes | None) -> dict:
         w = (text or b"").lower().translate(SPACES).split()
         line = " " + b" ".join(w).decode("utf-8", "replace") + " "
-        word_at = lambda i: line.count(" ", 0, i) - 1
-        starts, base = [], set()
+        base = []
         for phrase, label in BASE:
             at = line.find(f" {phrase} ")
             while at >= 0:
-                starts.append(word_at(at + 1))
-                base.add(label)
+                base.append((at + 1, label))
                 at = line.find(f" {phrase} ", at + 1)
-        active = sorted({i for _, ids in self.filter.iter(line) for i in ids})
-        found = [(p, m.start() - m.end(), m.start(), m.end(), weight, label, (m.groupdict().get("v") or m.groupdict().get("v2"))) for p, weight, pattern, label, _ in (self.rules[i] for i in active) for m in pattern.finditer(line)]
-        kept: list[tuple] = []
-        for x in sorted(found, key=lambda x: (x[1], x[0])) if found else []:
-            if not any(k[2] <= x[2] and x[3] <= k[3] for k in kept):
-                kept.append(x)
-        spans = [{"label": f"{x[5]}-{x[6]}" if x[6] and x[5] != "mit" else x[5], "first": word_at(x[2]), "end": word_at(x[3]) + 1, "weight": x[4]} for x in sorted(kept, key=lambda x: x[2])]
+        keys = {key for _, key in self.filter.iter(line)}
+        active = [r for r in self.rules if keys.issuperset(r[3])] if keys else ()
+        found = [(-priority, m.start() - m.end(), m.start(), weight, label) for priority, weight, label, _, pattern in active for m in pattern.finditer(line)]
+        kept, spans = Kept(), []
+        # Places in the line become numbers of words by the places where words begin.
+        begins = list(itertools.accumulate((len(x) + 1 for x in line.split(" ")[1:-1]), initial=1)) if found or base else []
+        word_at = lambda i: bisect.bisect_left(begins, i)
+        for _, size, start, weight, label in sorted(found):
+            if kept.add(start, start - size):
+                spans.append({"label": label, "first": word_at(start), "end": word_at(start - size + 1), "weight": weight})
+        spans.sort(key=lambda x: (x["first"], x["end"]))
+        starts = [word_at(i) for i, _ in base]
         score = max([1.0] * bool(base) + [x["weight"] for x in spans], default=0.0)
-        return {"n_words": len(w), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {x["label"] for x in spans})), "score": score, "spans": spans}
+        names = {label for _, label in base}
+        return {"n_words": len(w), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(names)), "labels": ",".join(sorted(names | {x["label"] for x in spans})), "score": score, "spans": spans}
 
 
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label: string, first: bigint, end: bigint, weight: double>>"

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from sparkrag.llm import near_copies
 
@@ -61,14 +63,17 @@ def test_hot_group_equals_brute_force(spark):
     assert got.count() == len(set(classes(texts)))
 
 
-def test_bounds():
-    draws = [near_copies.extra(n) for n in range(1, 3000)]
-    assert draws == sorted(draws) and all(d <= near_copies.least(n) for n, d in enumerate(draws, 1))
-    least, extra = near_copies.least, near_copies.extra
-    for n in range(1, 600):
-        for m in range(least(n), 5 * n // 4 + 1):
-            whole = max(n, m) <= near_copies.SMALL
-            assert near_copies.shared(n) <= (max(least(n), least(m)) if whole else min(extra(n), extra(m)))
+def test_linked_sets_share_a_key():
+    rnd = np.random.default_rng(5)
+    for n in [*range(1, 70), 100, 150, 225, 340, 700, 2000, 9000]:
+        for _ in range(30 if n < 400 else 5):
+            a = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+            m = int(rnd.integers(-(-4 * n // 5), 5 * n // 4 + 1))
+            common = -(-4 * (n + m) // 9)
+            if common > min(n, m):
+                continue
+            b = np.unique(np.r_[rnd.permutation(a)[:common], rnd.integers(0, 1 << 64, m - common, dtype=np.uint64)])
+            assert set(near_copies.keys_of(a)) & set(near_copies.keys_of(b)), (n, m)
 
 
 def test_empty(spark):

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow import fs as pafs
 from pyspark.sql import functions as F
@@ -44,9 +45,9 @@ def test_rules_and_ledger(docs, none):
         w = (r["text"] or "").split()
         grams = Counter(zip(w, w[1:], w[2:]))
         hit = {i + o for i, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for o in range(3)}
-        assert (r["n_words"], r["n_repeat_words"]) == (len(w), len(hit))
+        assert (r["ledger"]["n_words"], r["ledger"]["n_repeat_words"]) == (len(w), len(hit))
     assert op8_rules.ledger(none).count() == 0
-    assert op8_rules.ablation(op8_rules.ledger(docs)).first()["fails_few_words"] == sum(r["n_words"] < 50 for r in rows)
+    assert op8_rules.ablation(op8_rules.ledger(docs)).first()["fails_few_words"] == sum(r["ledger"]["n_words"] < 50 for r in rows)
 
 
 def test_simhash_components(spark, docs, none):
@@ -106,9 +107,9 @@ def test_encoder_equals_whole_texts():
     e = op3_tokens.Encoder(op3_tokens.default_tokenizer())
     assert e.by_word and not e.exact({**json.loads(e.encoder.to_str()), "normalizer": None, "pre_tokenizer": {"type": "Whitespace"}})
     rnd = random.Random(4)
-    alphabet = ["a", "B", "'s", "'", "é", "e\u0301", "\u0301", "Σ", "ς", "İ", "\u00a0", "\u2028", "\t", "\r", "\x0b", " ", "\n", "  ", "7", "漢", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "<|endof", "text|>", ".", ",", "!", "Qu", "\u212a",  "\u200d", "\x00", "?!", "\uac00", "\u11a8"]
+    alphabet = ["a", "B", "0", "10", "&&&", "$", "#", ";", "|>", "'s", "'", "é", "e\u0301", "\u0301", "Σ", "ς", "İ", "\u00a0", "\u2028", "\t", "\r", "\x0b", " ", "\n", "  ", "7", "漢", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "<|endof", "text|>", ".", ",", "!", "Qu", "\u212a",  "\u200d", "\x00", "?!", "\uac00", "\u11a8"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(20000)] + ["x" * 5000 + " " + "x" * 5000]
-    assert e.encode(texts) == [x + b"\1\0\0\0" for x in e.whole(texts)]
+    assert e.encode(pa.array(texts)) == [x + b"\1\0\0\0" for x in e.whole(texts)]
 
 
 def test_shards_balance(docs, none):
@@ -120,6 +121,19 @@ def test_shards_balance(docs, none):
     assert len({r["shard"] for r in rows if r["doc_id"] == 103}) == 1
 
 
+def test_cells_in_a_tree_balance(spark, monkeypatch):
+    monkeypatch.setattr(op6_shards, "FAN", 3)
+    rnd = random.Random(6)
+    sizes = {f"g{i}": rnd.randint(16, 4000) for i in range(3000)} | {"huge": 10**6}
+    got = {r["gid"]: r["shard"] for r in op6_shards.balance(spark.createDataFrame(list(sizes.items()), "gid string, bytes bigint"), 8, 150).collect()}
+    assert got.keys() == sizes.keys()
+    totals = Counter()
+    for g, s in got.items():
+        totals[s] += sizes[g]
+    rest = [x for s, x in totals.items() if s != got["huge"]]
+    assert len(totals) == 8 and totals[got["huge"]] == 10**6 and max(rest) - min(rest) < 200, totals
+
+
 def test_difference_places():
     rnd = random.Random(1)
     sizes = [rnd.randint(1, 1000) for _ in range(500)]

@@ -2,14 +2,17 @@
 
 Texts become arrays of term numbers, stored once; terms are the words of the benchmark, other words are OTHER. Passages
 of all documents (PASSAGE words each) are TF-IDF rows over the terms. A randomised SVD of that matrix A is distributed:
-document frequencies and the product A'(A G) are summed over partitions, term by term, and the driver sees only
-RANK numbers per term. Windows of documents, as long as an item and a quarter apart, and the benchmark items are put in
-the latent space; pairs of cosine COSINE or more are candidates. A candidate leaks if the longest common subsequence
-of words covers SAME of the item, or PARAPHRASE of it with SAME of its answer (its last sentence).
+document frequencies and the product Y = A'(A G) are summed over partitions, term by term, and the driver sees only
+RANK numbers per term, from which Y, G'Y give singular vectors and values. Windows of documents, as long as an item and a
+quarter apart, and the benchmark items are put in the latent space, its axes evened out by the root of their singular
+values; pairs of cosine COSINE or more are candidates. A candidate leaks if the longest common subsequence of words covers
+SAME of the item, or PARAPHRASE of it with ANSWER of its answer (its last sentence).
 The subsequence can miss few of an item's words, so of its rarest words some must be near the window; windows without
-them are passed over, which loses nothing that the last check would keep.
+them are passed over, which loses nothing that the last check would keep (a test holds that).
 
-The benchmark is the stated small side: the driver holds it, and documents are searched in blocks of ITEMS items.
+The benchmark is the stated small side: the driver holds it, of LIMIT bytes at most (else ValueError; split it and union
+the results), and documents are searched in blocks of ITEMS items. Items of fewer than SHORT words must be found word for
+word, those of fewer than LEAST words say too little and are never found.
 Null and empty texts hold nothing and null or empty items are never found; repeated documents are found alike; equal
 items are found under each id; an empty table gives no rows; further columns are ignored. Texts are searched whole.
 """
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 RANK, PASSAGE, OTHER = 32, 64, -1
-COSINE, SAME, PARAPHRASE = 0.6, 0.8, 0.6
+COSINE, SAME, PARAPHRASE, ANSWER = 0.4, 0.6, 0.5, 0.8
+SHORT, LEAST, LIMIT = 8, 4, 1 << 28
 ITEMS = 4000
 #: Words that are worked on at once; a document is never cut.
 CHUNK = 1 << 17
@@ -71,7 +75,9 @@ class Item:
         if sum(min(c, bag[w]) for w, c in self.bag.items()) < PARAPHRASE * n:
             return 0.0
         share = lcs(self.words, region) / n
-        if share >= SAME or share >= PARAPHRASE and lcs(self.answer, region) >= SAME * len(self.answer):
+        if n < SHORT:
+            return float(any(region[i : i + n] == self.words for i in range(len(region) - n + 1)))
+        if share >= SAME or share >= PARAPHRASE and lcs(self.answer, region) >= ANSWER * len(self.answer):
             return share
         return 0.0
 
@@ -134,7 +140,8 @@ def term_space(numbers: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
     for term, c in numbers.select("doc_id", "ids").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[term] = c
     idf = np.log((df[terms] + 1) / (df[:terms] + 1)) + 0.1
-    rough = (np.random.default_rng(42).standard_normal((terms, RANK)) * idf[:, None]).astype(np.float32)
+    g = np.random.default_rng(42).standard_normal((terms, RANK))
+    rough = (g * idf[:, None]).astype(np.float32)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((terms, RANK))
@@ -157,8 +164,13 @@ def term_space(numbers: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
     sums = [F.sum(F.col("row")[i].cast("double")).alias(f"x{i}") for i in range(RANK)]
     for r in numbers.select("doc_id", "ids").mapInArrow(multiply, "term int, row array<float>").groupBy("term").agg(*sums).collect():
         y[r[0]] = r[1:]
-    q, _ = np.linalg.qr(y)
-    return df[:terms], (q * idf[:, None]).astype(np.float32)
+    # A'A is about Y (G'Y)^-1 Y', so the left singular vectors of Y (G'Y)^-1/2 are right ones of A, with its singular values.
+    small, turn = np.linalg.eigh((g.T @ y + y.T @ g) / 2)
+    good = small > 1e-9 * max(small.max(initial=0), 1e-30)
+    vectors, values, _ = np.linalg.svd(y @ (turn[:, good] / np.sqrt(small[good])), full_matrices=False)
+    axes = np.zeros((terms, RANK))
+    axes[:, : len(values)] = vectors / np.sqrt(np.maximum(values, 1e-9))
+    return df[:terms], (axes * idf[:, None]).astype(np.float32)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -173,7 +185,7 @@ def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 class Searcher:
     def __init__(self, items: list[Item], df: np.ndarray, space: np.ndarray, cosine: float = COSINE):
-        self.items, self.space, self.cosine = [x for x in items if x.words], space, cosine
+        self.items, self.space, self.cosine = [x for x in items if len(x.words) >= LEAST], space, cosine
         self.length = np.array([len(x.words) for x in self.items], np.int64)
         self.step = np.maximum(1, self.length // 4)
         self.vectors = unit(np.array([space[x.words].sum(0) for x in self.items]).reshape(len(self.items), space.shape[1]))
@@ -233,6 +245,9 @@ FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score) of every document that leaks a benchmark item."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > LIMIT:
+        raise ValueError(f"the benchmark has {size} bytes of text, more than {LIMIT}")
     terms: dict[bytes, int] = {}
     items = [Item(*r, terms) for r in benchmark.select("item_id", "text").collect()]
     numbers = stored(numbered(docs, terms), "term-numbers")

@@ -154,14 +154,6 @@ def test_warc_round_trip(spark):
     assert got[3]["payload_bytes"] == 0 and got[4]["record_type"] == got[5]["record_type"] == "response"
 
 
-def test_extraction():
-    page = "<nav>menu</nav><article><h1>T &amp; u</h1><p>one\n two<p>three<div class='comments'>no</div></article><footer>f</footer>"
-    assert op4_extract.main_text(op4_extract.page_lines(page), []) == "T & u\none two\nthree"
-    a, b = ([(x, False) for x in s.split()] for s in ("top x y end", "top z end"))
-    assert op4_extract.main_text(a, b) == "x\ny"
-    assert op4_extract.page_lines(None) == []
-
-
 def test_licenses(docs, none):
     s = op9_licenses.Scanner()
     got = s.scan(b"Under the MIT License. under the mit license; GNU General Public License, version 3. CC-BY-NC")
@@ -185,16 +177,3 @@ def test_quality(spark, docs, none):
     rows = op2_quality.score(docs, model).join(labels, "doc_id").collect()
     assert sum(r["predicted"] == r["quality"] for r in rows) > 0.8 * len(rows)
     assert op2_quality.score(none, op2_quality.train(none, labels)).count() == 0
-
-
-def test_extraction_pairs_over_the_host(spark):
-    page = lambda x: f"<div>top menu</div><div>{x}</div><div>bottom</div>"
-    paths = ["a.html", "b.html", "some-post-title", "some-post-titles", "some-post-t/x", "zz/1", "zz/2"]
-    rows = [(i, f"http://host/{p}", page(f"own {i}")) for i, p in enumerate(paths)] + [(50, "http://alone/x", page("own")), (51, None, page("null")), (52, "http://HOST/a.html?q", page("own 0"))]
-    docs = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    got = {r["page_id"]: r["text"] for r in op4_extract.extract(docs).collect()}
-    assert [got[i] for i in range(len(paths))] == [f"own {i}" for i in range(len(paths))]
-    assert got[50] == "top menu\nown\nbottom" and got[51] == "top menu\nnull\nbottom" and got[52] == "own 0"
-    every = sorted((f"/{p}", str(i)) for i, p in enumerate(paths))
-    pairs = op4_extract.neighbours(spark.createDataFrame([("h", p, c, c) for p, c in every], "h string, p string, c string, html string"))
-    assert {(r["p"], r["other"]) for r in pairs.collect()} == {(p, every[i - 1 if i else 1][1]) for i, (p, _) in enumerate(every)}

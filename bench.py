@@ -1,21 +1,28 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS], in a warm session; prints one JSON line.
+
+The lexical index is built once, as the query `bm25_index` of the report; queries then read it.
+"""
 
 import json
 import os
 import time
 
-from pyspark.sql import SparkSession
-
+from sparkrag.plans import retrieval
 from sparkrag.plans.queries import QUERIES
+from sparkrag.session import session
 
-NAMES = ("bm25_topk", "dense_topk_batch", "rrf_hybrid", "tokenize_counts", "chat_sessions_gap_cap", "label_coverage", "exact_dups")
+NAMES = ("bm25_topk", "bm25_benchmark", "dense_topk_batch", "dense_topk_hundredth", "rrf_hybrid", "tokenize_counts", "forum_chunks", "chat_sessions_gap_cap", "percentiles", "label_coverage", "exact_dups")
 
 
 def main() -> None:
     cpus, sf_dir = os.environ.get("BENCH_CPUS", "8"), os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").getOrCreate()
+    spark = session(f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="8g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
+    # Starts the workers and compiles common code; no query is run for it.
+    retrieval.table(spark, sf_dir, "documents").selectExpr("sum(length(text))").collect()
+    start = time.time()
+    retrieval.lexical_index(spark, sf_dir)
+    seconds = {"bm25_index": round(time.time() - start, 3)}
     for name in NAMES:
         start = time.time()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

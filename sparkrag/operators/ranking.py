@@ -1,59 +1,20 @@
-"""Lexical and vector retrieval, fusion, ranking metrics."""
+"""Vector search in blocks, fusion, collapsing, reranking."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Vectors of the index and of the query set that are multiplied at once.
 ROWS, QUERIES = 2048, 256
 
 
-def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of the documents that hold a query term. Terms repeat as in the query; negative idf becomes a share of the mean idf.
-
-    Lengths and postings come from one pass over the texts; only postings of query terms are shuffled. The mean idf
-    needs document frequencies of the whole vocabulary.
-    """
-    spark = docs.sparkSession
-    tok = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    stats = tok.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = tok.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    words = spark.createDataFrame([(w,) for w in query.split()], "term string").groupBy("term").agg(F.count("*").alias("qn"))
-    idf = raw.join(F.broadcast(words), "term").crossJoin(F.broadcast(mean)).select("term", "qn", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    wanted = sorted(set(query.split()))
-    hits = tok.select("id", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(wanted))).alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    joined = hits.join(F.broadcast(idf), "term").crossJoin(F.broadcast(stats))
-    part = F.col("qn") * F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return joined.groupBy("id").agg(F.sum(part).alias("score"))
-
-
-def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """The k best (id, score) with 1-based rank; ties go to the smaller id."""
-    best = scored.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact search: index (id, vec) against a stated query set (query_id, qvec), which must be small enough to hold in every task."""
-    scored = index.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(dot(F.col("vec"), F.col("qvec")), 6).alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-
-
 def _packed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,29 +42,74 @@ def _best(k: int):
     return run
 
 
-def dense_top_k_blocks(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact search as dense_top_k, for query sets of any size: each block of queries meets each block of the index, and the k best of each meeting are ranked. Null vectors have no score and go."""
+def dense_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): exact search of index (id, vec) with a stated query set (query_id, qvec) of any size.
+
+    Each block of queries meets each block of the index, and the k best of each meeting are ranked. Null vectors have no
+    score and go; k below 1 gives no rows.
+    """
     kind = "array<bigint>", "array<float>"
     left = index.where("vec IS NOT NULL").select(F.col("id").cast("long"), "vec").mapInArrow(_packed(ROWS), "ids {}, vecs {}".format(*kind))
     right = queries.where("qvec IS NOT NULL").select(F.col("query_id").cast("long"), "qvec").mapInArrow(_packed(QUERIES), "ids {}, vecs {}".format(*kind)).toDF("qids", "qvecs")
-    best = left.crossJoin(right).mapInArrow(_best(k), "query_id bigint, id bigint, score double")
+    best = left.crossJoin(right).mapInArrow(_best(max(k, 0)), "query_id bigint, id bigint, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def fuse(lists: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of (id, rank), ranks from 0 or 1 as the caller counts them."""
-    return lists.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min("rank").alias("best_rank"))
+def fuse_lists(lists: DataFrame, k: int = 60, top_k: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of result lists (query_id, list_idx, id, rank), rank from 0: (query_id, id, score, rank from 1).
 
-
-def metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Per query hit1, hit3, rr, recall, ndcg from ranked (query_id, rel, rank from 1) and relevant (query_id, total)."""
-    top = ranked.where(F.col("rank") <= k)
-    per = top.groupBy("query_id").agg(
-        F.max(F.when((F.col("rank") <= 1) & F.col("rel"), 1).otherwise(0)).alias("hit1"), F.max(F.when((F.col("rank") <= 3) & F.col("rel"), 1).otherwise(0)).alias("hit3"),
-        F.coalesce(1.0 / F.min(F.when(F.col("rel"), F.col("rank"))), F.lit(0.0)).alias("rr"), F.count_if("rel").alias("got"),
-        F.sum(F.when(F.col("rel"), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
-    )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.col("total")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    out = per.join(relevant.where("total > 0"), "query_id")
-    return out.select("query_id", "hit1", "hit3", F.round("rr", 6).alias("rr"), F.round(F.col("got") / F.col("total"), 6).alias("recall"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+    An id that repeats in a list counts as often. Equal scores keep the order in which ids are first seen, list by list.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    sums = lists.groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list_idx", "rank")).alias("_seen"))
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "_seen")
+    out = sums.withColumn("rank", F.row_number().over(by)).drop("_seen")
+    return out if top_k is None else out.where(F.col("rank") <= top_k)
+
+
+def fuse_ids(lists: DataFrame, k: int = 60, top_k: int | None = None) -> DataFrame:
+    """Fusion of id lists (query_id, list_idx, id, rank), rank from 1, repeats in a list ignored: (query_id, id, score, best_rank, rank); ties by best rank, then id."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    first = lists.groupBy("query_id", "list_idx", "id").agg(F.min("rank").alias("rank"))
+    sums = first.groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min("rank").alias("best_rank"))
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "best_rank", "id")
+    out = sums.withColumn("rank", F.row_number().over(by))
+    return out if top_k is None else out.where(F.col("rank") <= top_k)
+
+
+def collapse(ranked: DataFrame, parents: DataFrame, parent: str = "post_id") -> DataFrame:
+    """(query_id, parent, rank): chunks (query_id, id, rank) as their posts of parents (id, parent), the first of each kept, ranked anew."""
+    best = ranked.join(parents.select("id", parent), "id").groupBy("query_id", parent).agg(F.min("rank").alias("_at"))
+    return best.select("query_id", parent, F.row_number().over(Window.partitionBy("query_id").orderBy("_at", parent)).alias("rank"))
+
+
+def missing_parents(ranked: DataFrame, parents: DataFrame) -> DataFrame:
+    """Ranked ids that parents lack."""
+    return ranked.select("id").distinct().join(parents.select("id"), "id", "left_anti")
+
+
+def rerank(found: DataFrame, score: Callable | None = None, top_k: int | None = None) -> DataFrame:
+    """found (query_id, question, id, text, rank) by a new score: a vectorised function of two lists (questions, texts), by default the share of the question's tokens that the text holds. Ties keep their rank."""
+    if score is None:
+        asked = F.array_distinct(tokens(F.col("question")))
+        new = F.size(F.array_intersect(asked, tokens(F.col("text")))) / F.greatest(F.size(asked), F.lit(1))
+    else:
+        @F.pandas_udf("double")
+        def scored(q, t):
+            import pandas as pd
+
+            return pd.Series(score(q.tolist(), t.tolist()), dtype="float64")
+
+        new = scored("question", "text")
+    rows = found.withColumn("score", new)
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("_was"))
+    out = rows.withColumnRenamed("rank", "_was").withColumn("rank", F.row_number().over(by)).drop("_was")
+    return out if top_k is None else out.where(F.col("rank") <= top_k)
+
+
+def side_by_side(lists: DataFrame, names: list[str]) -> DataFrame:
+    """(query_id, id, a rank per list name) of lists (query_id, name, id, rank); null where a list lacks the id."""
+    return lists.groupBy("query_id", "id").pivot("name", names).agg(F.min("rank"))

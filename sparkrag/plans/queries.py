@@ -1,208 +1,9 @@
-"""Registered queries over the test tables, each with its SQL."""
+"""All registered queries over the test tables, each with its SQL where there is one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from . import answers, corpus, forum, retrieval, streams  # noqa: F401
+from .registry import QUERIES, SQL
 
-from ..functions import text as T
-from ..operators import ranking as R
-from ..operators import threads as H
-
-QUERY = "the of and on that the"
-QUERIES, SQL = {}, {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("SELECT t AS term, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS t FROM documents) GROUP BY t")
-def tokenize_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-
-
-BM25_SQL = """
-WITH tok AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM documents),
-st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok),
-tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY ALL),
-raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n),
-q AS (SELECT term, count(*) AS qn FROM (SELECT unnest(string_split('the of and on that the', ' ')) AS term) GROUP BY term),
-idf AS (SELECT term, qn, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw JOIN q USING (term)),
-sc AS (SELECT id, round(sum(qn * idf * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))), 6) AS score FROM tf JOIN idf USING (term), st GROUP BY id),
-bm AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM sc)
-"""
-
-
-def _bm25(spark, sf_dir, k):
-    return R.top_k(R.bm25(table(spark, sf_dir, "documents"), QUERY), k)
-
-
-@query(BM25_SQL + "SELECT id, score, rank::INT AS rank FROM bm WHERE rank <= 20 AND score > 0")
-def bm25_topk(spark, sf_dir):
-    return _bm25(spark, sf_dir, 20).where("score > 0")
-
-
-DENSE_SQL = """
-WITH q AS (SELECT vec_id AS query_id, embedding AS qvec, label AS ql FROM embeddings WHERE vec_id < 10),
-s AS (SELECT query_id, vec_id AS id, label = ql AS rel, round(list_dot_product(embedding::DOUBLE[], qvec::DOUBLE[]), 6) AS score FROM embeddings, q),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-"""
-
-
-def _dense(spark, sf_dir, k):
-    e = table(spark, sf_dir, "embeddings")
-    # The query set is the feature: ten stated vectors.
-    return R.dense_top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), k)
-
-
-@query(DENSE_SQL + "SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= 20")
-def dense_topk_batch(spark, sf_dir):
-    return _dense(spark, sf_dir, 20)
-
-
-@query(BM25_SQL + """, c AS (SELECT id, rank - 1 AS rank FROM bm WHERE rank <= 50 UNION ALL
-SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 FROM documents QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 50),
-f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(rank)::INT AS best_rank FROM c GROUP BY id)
-SELECT * FROM f ORDER BY score DESC, best_rank, id LIMIT 10""")
-def rrf_hybrid(spark, sf_dir):
-    by = Window.orderBy(F.desc("n_chars"), "doc_id")
-    longest = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50).select(F.col("doc_id").alias("id"), (F.row_number().over(by) - 1).alias("rank"))
-    fused = R.fuse(_bm25(spark, sf_dir, 50).select("id", (F.col("rank") - 1).alias("rank")).union(longest))
-    return fused.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "best_rank", "id").limit(10)
-
-
-def _judged(labels, found):
-    """(query_id, rel, rank) of found without the query itself, and (query_id, ql)."""
-    top = found.where("id <> query_id")
-    ql = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    ranked = top.join(labels, top["id"] == labels["vec_id"]).join(ql, "query_id").select("query_id", (F.col("label") == F.col("ql")).alias("rel"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
-    return ranked, ql
-
-
-def _totals(labels, ql):
-    return ql.join(labels.groupBy("label").agg((F.count("*") - 1).alias("total")), F.col("ql") == F.col("label")).select("query_id", "total")
-
-
-@query(DENSE_SQL + """, top AS (SELECT * FROM r WHERE rank <= 5 + 1 AND id <> query_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rk FROM top),
-t AS (SELECT query_id, count(*) FILTER (rel AND id <> query_id) AS total FROM s GROUP BY query_id)
-SELECT query_id, max((rk <= 1 AND rel)::INT) AS hit1, max((rk <= 3 AND rel)::INT) AS hit3, round(coalesce(1.0::DOUBLE / min(rk) FILTER (rel), 0), 6) AS rr, round((count(*) FILTER (rel))::DOUBLE / any_value(total), 6) AS recall,
-round(sum(CASE WHEN rel THEN 1 / log2(rk + 1.0::DOUBLE) ELSE 0 END) / list_sum(list_transform(range(1, least(5, any_value(total)) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))), 6) AS ndcg
-FROM k JOIN t USING (query_id) WHERE rk <= 5 AND total > 0 GROUP BY query_id""")
-def metrics_hit_mrr_recall_ndcg(spark, sf_dir):
-    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    ranked, ql = _judged(labels, _dense(spark, sf_dir, 6))
-    return R.metrics(ranked, _totals(labels, ql.where("query_id < 10")), 5)
-
-
-#: The whole search: every row whose id is divisible by 100 against all rows.
-ALL_SQL = DENSE_SQL.replace("vec_id < 10", "vec_id % 100 = 0")
-
-
-def _dense_all(spark, sf_dir, k):
-    e = table(spark, sf_dir, "embeddings")
-    return R.dense_top_k_blocks(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), k)
-
-
-@query(ALL_SQL + "SELECT query_id, id, score, rank::INT AS rank FROM r WHERE rank <= 20")
-def dense_topk_hundredth(spark, sf_dir):
-    return _dense_all(spark, sf_dir, 20)
-
-
-@query(SQL["metrics_hit_mrr_recall_ndcg"].replace(DENSE_SQL, ALL_SQL))
-def metrics_hundredth(spark, sf_dir):
-    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    ranked, ql = _judged(labels, _dense_all(spark, sf_dir, 6))
-    return R.metrics(ranked, _totals(labels, ql.where("query_id % 100 = 0")), 5)
-
-
-@query("""WITH seeds AS (SELECT conv_id AS topic, min(turn) FILTER (role = 'user') AS pos, conv_id AS seed_rank FROM conversations GROUP BY conv_id HAVING min(turn) FILTER (role = 'user') IS NOT NULL),
-s AS (SELECT topic, pos + off AS pos, seed_rank, slot FROM seeds, (VALUES (0, 0), (1, 1), (2, 2), (3, -1)) AS v(slot, off))
-SELECT s.topic, s.pos, s.seed_rank, s.slot::INT AS slot FROM s JOIN conversations c ON c.conv_id = s.topic AND c.turn = s.pos""")
-def thread_neighbours(spark, sf_dir):
-    posts = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("topic"), F.col("turn").alias("pos"), "role")
-    seeds = posts.where("role = 'user'").groupBy("topic").agg(F.min("pos").alias("pos")).withColumn("seed_rank", F.col("topic"))
-    return H.expand(posts, seeds)
-
-
-@query("""SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) < 20 THEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS context FROM conversations""")
-def short_reply_context(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.select("conv_id", "turn", F.when(F.size(T.tokens(F.col("text"))) < 20, before).alias("context"))
-
-
-@query("""WITH b AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 10 MINUTE, false)::INT AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM b), u AS (SELECT *, (row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) - 1) // 20 AS u FROM s),
-n AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY s, u) AS window_no FROM u)
-SELECT user_id, window_no::INT AS window_no, count(*)::BIGINT AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM n GROUP BY 1, 2""")
-def chat_sessions_gap_cap(spark, sf_dir):
-    rows = H.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
-    return rows.groupBy("user_id", "window_no").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
-
-
-@query("SELECT user_id, printf('participant_%04d', row_number() OVER (ORDER BY min(event_id), user_id)) AS alias FROM events GROUP BY user_id")
-def sender_alias(spark, sf_dir):
-    return H.aliases(table(spark, sf_dir, "events"), "user_id", "event_id")
-
-
-@query()
-def pii_redaction(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("text"))
-
-
-@query("SELECT md5(coalesce(text, '')) AS digest, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
-def exact_dups(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    return rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-
-
-@query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def label_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
-@query("SELECT source, count(*)::BIGINT AS docs, count(l.doc_id)::BIGINT AS labelled, sum(coalesce(quality, 0))::BIGINT AS good FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
-def label_coverage(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").withColumn("has", F.lit(1))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left")
-    return rows.groupBy("source").agg(F.count("*").alias("docs"), F.count("has").alias("labelled"), F.sum(F.coalesce("quality", F.lit(0)).cast("long")).alias("good"))
-
-
-@query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, quantile_disc(value, 0.5) AS near50, quantile_disc(value, 0.95) AS near95, min(value) AS least, count(*)::BIGINT AS n FROM events GROUP BY event_type""")
-def percentiles(spark, sf_dir):
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), disc(0.5).alias("near50"), disc(0.95).alias("near95"), F.min("value").alias("least"), F.count("*").alias("n"))
-
-
-@query("""SELECT round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.99), 6) AS p99, max(n_chars) AS most, round(avg((n_chars > 1000)::INT), 6) AS over_1000, round(avg((n_chars > 4000)::INT), 6) AS over_4000 FROM documents""")
-def corpus_profile(spark, sf_dir):
-    p = lambda x: F.round(F.percentile("n_chars", F.lit(x)), 6)
-    over = lambda x: F.round(F.avg((F.col("n_chars") > x).cast("int")), 6)
-    return table(spark, sf_dir, "documents").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("n_chars").alias("most"), over(1000).alias("over_1000"), over(4000).alias("over_4000"))
-
-
-@query("SELECT page_id, regexp_replace(url, '[?#].*$', '') AS root, greatest(1, coalesce(try_cast(regexp_extract(url, '[?&]page=(\\d+)', 1) AS INT), 1)) AS page FROM pages")
-def url_canonical(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.canonical_url(F.col("url")).alias("root"), F.greatest(F.lit(1), F.coalesce(F.expr("try_cast(regexp_extract(url, '[?&]page=(\\\\d+)', 1) AS INT)"), F.lit(1))).alias("page"))
-
-
-@query("SELECT count(*)::BIGINT AS chunks, count(DISTINCT source)::BIGINT AS sources, count(DISTINCT text)::BIGINT AS texts, count(*) FILTER (n_chars >= 200)::BIGINT AS dense, sum(n_chars)::BIGINT AS chars FROM documents")
-def chunk_manifest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.countDistinct("text").alias("texts"), F.count_if(F.col("n_chars") >= 200).alias("dense"), F.sum("n_chars").alias("chars"))
-
-
-@query("SELECT id, list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(array_to_string(regexp_extract_all(a, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), ','), '\\s', '', 'g'), ','), lambda x: try_cast(x AS INT)), lambda m: m BETWEEN 1 AND 2)))::VARCHAR AS cited FROM (VALUES (1, 'so [1, 2, 9]'), (2, 'no [3]'), (3, 'see [a]')) AS v(id, a)")
-def citation_extract(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "so [1, 2, 9]"), (2, "no [3]"), (3, "see [a]")], "id int, a string")
-    return rows.select("id", T.citations(F.col("a"), F.lit(2)).cast("string").alias("cited"))
+rrf_hybrid = QUERIES["rrf_hybrid"]
+__all__ = ["QUERIES", "SQL", "rrf_hybrid"]

@@ -1,0 +1 @@
+"""Readers: files, forum posts, chats, encyclopedia articles, labelled queries."""

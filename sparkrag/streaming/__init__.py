@@ -1,0 +1 @@
+"""Streams: deduplicated ingest, session windows, running numbers, versions of sources."""

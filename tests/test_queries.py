@@ -1,56 +1,49 @@
-from pyspark.sql import functions as F
+import glob
+import os
 
-from sparkrag.functions.text import citations, redact, representative_indices
-from sparkrag.operators import ranking, threads
+import duckdb
+import pytest
 
+from sparkrag.plans.queries import QUERIES, SQL
 
-def test_fusion_sums_over_lists(spark):
-    rows = spark.createDataFrame([("a", 0), ("b", 1), ("c", 0), ("b", 1)], "id string, rank int")
-    got = {r["id"]: r["score"] for r in ranking.fuse(rows).collect()}
-    assert abs(got["b"] - 2 / 61) < 1e-12 and got["b"] > got["a"] == got["c"]
+SF = "/root/testdata/sf0.001"
 
 
-def test_citations(spark):
-    rows = spark.createDataFrame([("x [1, 2, 9]",), ("[3]",), ("[a]",)], "a string")
-    assert [r[0] for r in rows.select(citations(F.col("a"), F.lit(2))).collect()] == [[1, 2], [], []]
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(f).removesuffix('.parquet')} AS SELECT * FROM '{f}'")
+    return c
 
 
-def test_representative_indices(spark):
-    n = spark.createDataFrame([(10,), (4,), (3,)], "n int")
-    assert [r[0] for r in n.select(representative_indices(F.col("n"), 4)).collect()] == [[0, 3, 6, 9], [0, 1, 2, 3], [0, 1, 2]]
+def plain(rows, names):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(str(tuple(round(r[i], 9) + 0.0 if isinstance(r[i], float) else r[i] for i in order)) for r in rows)
 
 
-def test_redaction(spark):
-    row = spark.createDataFrame([("Ann Example a@b.com +44 7700 900123",)], "t string")
-    assert row.select(redact(F.col("t"), ["Ann Example"])).first()[0] == "[PERSON] [EMAIL] [PHONE]"
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, con, name):
+    df = QUERIES[name](spark, SF)
+    got = con.execute(SQL[name])
+    names = [d[0] for d in got.description]
+    assert sorted(df.columns) == sorted(names)
+    assert plain(df.collect(), df.columns) == plain(got.fetchall(), names)
 
 
-def test_thread_expansion_order(spark):
-    posts = spark.createDataFrame([(1, i) for i in range(1, 5)], "topic int, pos int")
-    got = threads.expand(posts, spark.createDataFrame([(1, 2, 0)], "topic int, pos int, seed_rank int")).orderBy("slot").collect()
-    assert [r["pos"] for r in got] == [2, 3, 4, 1]
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_query_without_sql_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_session_gap_is_strict(spark):
-    rows = spark.sql("SELECT 1 u, id, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) AS ts FROM VALUES (1, 0.0), (2, 600.0), (3, 1200.000001) AS v(id, s)")
-    got = threads.sessions(rows, "u", "ts", "id").orderBy("id").collect()
-    assert [r["window_no"] for r in got] == [1, 1, 2]
-
-
-def test_dense_search_takes_every_hundredth_row(spark, tmp_path):
-    import random
-
-    from sparkrag.plans import queries
-
-    rnd = random.Random(2)
-    rows = [(i, [rnd.choice([-1.0, 0.5, 1.0]) for _ in range(4)], i % 3) for i in range(5200)]
-    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {}
-    for r in queries.QUERIES["dense_topk_hundredth"](spark, str(tmp_path)).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
-    assert sorted(got) == list(range(0, 5200, 100))
-    for q, ids in got.items():
-        best = sorted(range(5200), key=lambda i: (-dot(rows[q][1], rows[i][1]), i))[:20]
-        assert [ids[i] for i in range(1, 21)] == best
-    assert queries.QUERIES["metrics_hundredth"](spark, str(tmp_path)).count() == 52
+def test_rows_do_not_depend_on_partitions(spark):
+    names = ("rrf_hybrid", "rrf_ids_one_based", "thread_neighbours", "chat_sessions_gap_cap", "sender_alias", "answer_candidates")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append([sorted(map(str, QUERIES[x](spark, SF).collect())) for x in names])
+        assert found[0] == found[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)

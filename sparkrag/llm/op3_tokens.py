@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import gc
 import hashlib
-import itertools
 import json
 import re
 import struct
@@ -43,11 +43,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What special tokens begin with; a digit, and so a token of its own; new words encoded at once.
 SPECIAL, PARTING, JOINED = b"<|", b"0", 64
 #: Bytes of text encoded at once, or one text if it is longer.
-BYTES = 1 << 23
+BYTES = 1 << 22
 #: Text bytes of a shard at most, and at least if there are fewer shards than shuffle partitions.
 SHARD_BYTES, LEAST_BYTES = 1 << 27, 1 << 22
-#: Encoded words are remembered, about CACHED at most, none longer than LONG bytes; when full, the first KEPT stay.
-CACHED, KEPT, LONG = 1 << 19, 1 << 16, 64
+#: Encoded words are remembered, none longer than LONG bytes; with CACHED of them, those not met again among as many more are forgotten.
+CACHED, LONG = 3 << 17, 64
 SPACED = bytes(32 if x == 10 else x for x in range(256))
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in SPACED)
 #: A letter or digit, then a run of ASCII marks up to the end: two parts for the tokenizer.
@@ -153,14 +153,19 @@ class Reader:
 
 
 class Seen(dict):
-    """Ids of words; notes words that it lacks in `new`."""
-
-    def __init__(self, *args):
-        super().__init__(*args)
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> None:
-        self.new.append(word)
+    """Ids of words; takes those that it lacks from `old`, an earlier one of its kind, and notes in `new` what that lacks too."""
+
+    def __init__(self, old: dict[bytes, bytes]):
+        super().__init__({b"": b""})
+        self.old, self.new = old, []
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        ids = self.old.get(word)
+        if ids is None:
+            self.new.append(word)
+        else:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -180,7 +185,7 @@ class Encoder:
         parting = self.encoder.encode(PARTING.decode(), add_special_tokens=False).ids
         self.by_word = len(parting) == 1 and self.exact(json.loads(self.encoder.to_str()))
         self.parting = np.uint32(parting[0] if parting else 0)
-        self.seen = Seen({b"": b""})
+        self.seen = Seen({})
 
     @staticmethod
     def exact(definition: dict) -> bool:
@@ -212,11 +217,11 @@ class Encoder:
         return out
 
     def learn(self, words: set[bytes]) -> list[bytes]:
-        """Puts the ids of words in seen; returns what it put there."""
+        """Puts the ids of words in seen; returns those that need not stay: words with marks at the end, whose parts are known, and long ones."""
         seen = self.seen
         marked = {w: m.groups() for w in words if (m := MARKED(w)) and SPECIAL not in w}
         parts = {x for pair in marked.values() for x in pair}
-        plain = sorted(w for w in words.difference(marked) | parts if w not in seen)
+        plain = [w for w in words.difference(marked) | parts if w not in seen and w not in seen.old]
         alone = [w for w in plain if PARTING in w]
         rest = [w for w in plain if PARTING not in w]
         for some, encode in ((alone, lambda x: self.whole([w.decode() for w in x])), (rest, self.joined)):
@@ -224,21 +229,23 @@ class Encoder:
                 seen.update(zip(some[lo : lo + 2048], encode(some[lo : lo + 2048]), strict=True))
         for w, (stem, marks) in marked.items():
             seen[w] = seen[stem] + seen[marks]
-        return [*plain, *marked]
+        return [*(w for w in plain if len(w) > LONG), *marked]
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
         if len(self.seen) > CACHED:
-            self.seen = Seen(itertools.islice(self.seen.items(), KEPT))
+            self.seen.old = {}
+            self.seen = Seen(self.seen)
         seen = self.seen
         ids = list(map(seen.__getitem__, words))
         if seen.new:
-            put = self.learn(set(seen.new))
+            passing = self.learn(set(seen.new))
             seen.new.clear()
-            ids = list(map(seen.__getitem__, words))
-            for w in put:
-                if len(w) > LONG:
-                    del seen[w]
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i] = seen[words[i]]
+            for w in passing:
+                del seen[w]
         return ids
 
     def encode(self, texts: pa.Array) -> list[bytes]:
@@ -256,11 +263,13 @@ class Encoder:
         each = [*self.ids_of(known.dictionary.cast(pa.binary()).to_pylist()), end]
         # The ids of every word and, after the last word of a text, END, gathered out of those of the distinct words.
         at = np.insert(known.indices.to_numpy(), cut.offsets.to_numpy()[1:], len(each) - 1)
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        first = np.cumsum(size) - size
+        size = np.fromiter(map(len, each), np.int32, len(each)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
         n = size[at]
-        to = np.cumsum(n)
-        ids = np.frombuffer(b"".join(each), "<u4")[np.arange(to[-1]) + np.repeat(first[at] - (to - n), n)].tobytes()
+        to = np.cumsum(n, dtype=np.int64)
+        shift = np.repeat((first[at] - (to - n)).astype(np.int32), n)
+        shift += np.arange(len(shift), dtype=np.int32)
+        ids = np.frombuffer(b"".join(each), "<u4")[shift].tobytes()
         ends = [0, *(4 * to[cut.offsets.to_numpy()[1:] + np.arange(len(texts))]).tolist()]
         return [ids[i:j] for i, j in zip(ends, ends[1:])]
 
@@ -289,6 +298,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | Non
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        # Nothing here makes cycles, and the collector would walk the remembered words again and again.
+        gc.disable()
         encoder = encoder_of(tokenizer)
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base)
@@ -302,6 +313,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | Non
                         ids += len(value) // 4
                         w.add(key_of(doc), value)
             w.finish()
+        gc.enable()
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_rows": pa.array([w.rows], pa.int64()), "n_ids": pa.array([ids], pa.int64())}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select("doc_id", "text")

@@ -23,15 +23,20 @@ def bucket(term: Column, dim: int) -> tuple[Column, Column]:
     return F.pmod(number(1, 8), F.lit(dim)).cast("int"), F.when(number(9, 1) % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def sparse_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 256) -> DataFrame:
-    """(key, axis, weight): unit vectors of hashed tokens, axes other than zero only; texts without tokens, or whose tokens cancel out, have no rows."""
-    terms = rows.select(key, F.explode(T.tokens(F.col(text))).alias("term"))
+def hashed_terms(terms: DataFrame, key: str, dim: int = 256) -> DataFrame:
+    """(key, axis, weight): unit vectors of hashed terms (key, term, tf), axes other than zero only; where terms cancel out there are no rows."""
     axis, sign = bucket(F.col("term"), dim)
-    sums = terms.groupBy(key, axis.alias("axis")).agg(F.sum(sign).alias("v")).where("v <> 0")
+    sums = terms.groupBy(key, axis.alias("axis")).agg(F.sum(sign * F.col("tf")).alias("v")).where("v <> 0")
     norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return sums.join(norms, key).select(key, "axis", (F.col("v") / F.col("norm")).alias("weight"))
 
 
+def sparse_vectors(rows: DataFrame, key: str, text: str = "text", dim: int = 256) -> DataFrame:
+    """hashed_terms of texts; each term of a text is hashed once."""
+    terms = rows.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return hashed_terms(terms, key, dim)
+
+
 def sparse_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) of the k best by inner product; vectors (id, axis, weight), queries (query_id, axis, weight)."""
     met = vectors.join(queries.select("query_id", "axis", F.col("weight").alias("q")), "axis")

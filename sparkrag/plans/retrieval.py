@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..embed import sparse_top_k, sparse_vectors
+from ..embed import hashed_terms, sparse_top_k, sparse_vectors
 from ..functions import text as T
 from ..index import lexical
 from ..index.vectors import VectorIndex
@@ -17,7 +17,7 @@ from .registry import query, table
 QUERY = "the of and on that the"
 #: Axes of hashed vectors.
 DIM = 256
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
 
 
 def lexical_index(spark, sf_dir: str) -> str:
@@ -163,9 +163,22 @@ de AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FRO
 """
 
 
+def hashed_index(spark, sf_dir: str) -> str:
+    """Stored hashed vectors of the documents, from the stored postings, built once per session and table."""
+    key = (spark.sparkContext.applicationId, sf_dir, "hashed")
+    if key not in _indexes:
+        path = scratch(spark, "hashed")
+        terms = spark.read.parquet(f"{lexical_index(spark, sf_dir)}/postings").where("term IS NOT NULL").select("id", "term", "tf")
+        rows = hashed_terms(terms, "id", DIM).withColumn("part", F.col("axis") % 32)
+        rows.repartition("part").sortWithinPartitions("axis", "id").write.partitionBy("part").parquet(path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
 def _hashed(spark, sf_dir, k):
-    docs = sparse_vectors(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id", dim=DIM)
-    return sparse_top_k(docs, sparse_vectors(asked(spark), "query_id", "question", DIM), k)
+    wanted = sparse_vectors(asked(spark), "query_id", "question", DIM)
+    at = wanted.select((F.col("axis") % 32).alias("part"), "axis").distinct()
+    return sparse_top_k(spark.read.parquet(hashed_index(spark, sf_dir)).join(at, ["part", "axis"]).drop("part"), wanted, k)
 
 
 @query(BM25_SQL + HASHED + "SELECT id, score, rank::INT AS rank FROM de WHERE rank <= 20")

@@ -5,8 +5,8 @@ and m shingles then differ in at most (n + m) / 9 of them, whatever their 64-bit
 texts were seen 2 to 11 bits apart; a radius of 11 would take 4,095 tables). So the covering masks of op7 are laid over
 the sets themselves: a mask keeps the shingles of one class of hash values. With one class more than sets can differ
 in, a linked pair agrees on all shingles of some class, whose sum is a key of both. Sets are large, so fewer classes do: as
-many as leave a pair at 0.8 COVER classes untouched on average (a miss is likelier than 10^-6 in no size); small sets, where a
-class may be empty, take classes under several hash functions. Class counts belong to ranges of sizes, RATIO wide; a text in
+many as leave a pair at 0.8 COVER classes untouched on average, so that about one in 10^7 at exactly 0.8 is missed; small sets, where a
+class may be empty, take classes under several hash functions (of pairs of 4 and 5 shingles up to two in 10^5 are missed). Class counts belong to ranges of sizes, RATIO wide; a text in
 reach of the next range has keys there too.
 
 Texts of a key are nearly always near copies. First every text is checked against the least text of that key it shares most

@@ -52,6 +52,20 @@ SPACED = bytes(32 if x == 10 else x for x in range(256))
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in SPACED)
 #: A letter or digit, then a run of ASCII marks up to the end: two parts for the tokenizer.
 MARKED = re.compile(rb"(?s)(.*[a-z0-9])([!-/:-@\[-`{-~]+)").fullmatch
+#: Whether a byte ends a letter or digit of ASCII, is the second one of a letter of Latin-1 (all but the two signs), is an ASCII mark.
+BASIC = bytes(chr(x).isalnum() and x < 128 for x in range(256))
+LATIN = bytes(128 <= x < 192 and x not in (0x97, 0xB7) for x in range(256))
+MARK = bytes(32 < x < 127 and not chr(x).isalnum() for x in range(256))
+
+
+def part_marks(flat: bytes, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Texts, end to end, with a space between a letter or digit and a mark, where the tokenizer parts them anyway; and their starts then."""
+    flags = [np.frombuffer(flat.translate(x), bool) for x in (BASIC, LATIN, MARK)]
+    raw = np.frombuffer(flat, np.uint8)
+    ends = flags[0].copy()
+    ends[1:] |= flags[1][1:] & (raw[:-1] == 0xC3)
+    at = np.flatnonzero(ends[:-1] & flags[2][1:]) + 1
+    return np.insert(raw, at, 32).tobytes(), starts + np.searchsorted(at, starts)
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -174,8 +188,8 @@ class Encoder:
     Texts are cut at spaces and line feeds, across which the tokenizer must neither join, change nor emit anything;
     `exact` finds that in a tokenizer's definition. Frequent words are encoded once, without case (but where a special
     token could begin) and without the marks at their end, which are encoded apart. New words are encoded JOINED at
-    a time, parted by a digit that is one token for itself; words that hold it are encoded alone. Other tokenizers get
-    texts whole.
+    a time, parted by a digit that is one token for itself; words that hold it are encoded alone. Where no special token
+    could begin, marks are cut from words beforehand. Other tokenizers get texts whole.
     """
 
     def __init__(self, tokenizer: str):
@@ -189,12 +203,12 @@ class Encoder:
 
     @staticmethod
     def exact(definition: dict) -> bool:
-        """Whether the tokenizer splits as SPLIT does, with parts that do not look across white space."""
+        """Whether the tokenizer ignores case and splits as SPLIT does, with parts that do not look across white space."""
         norm, pre = definition.get("normalizer") or {}, definition.get("pre_tokenizer") or {}
         split, *rest = pre.get("pretokenizers") or [{}]
         return (
             all(x["type"] in {"NFC", "Lowercase"} or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in norm.get("normalizers", []))
-            and (not norm or "normalizers" in norm)
+            and any(x["type"] == "Lowercase" for x in norm.get("normalizers", []))
             and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": SPLIT}, "Removed", True)
             and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rest)
             and all(x["content"].startswith(SPECIAL.decode()) and not x["lstrip"] and not x["rstrip"] and not any(map(str.isspace, x["content"])) for x in definition["added_tokens"])
@@ -256,9 +270,13 @@ class Encoder:
         if not len(texts):
             return []
         raw = b"".join(texts.cast(pa.binary()).to_pylist())
-        starts = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())].astype(np.int32)
-        flat = raw.translate(SPACED if SPECIAL in raw else LOWER)
-        cut = pc.split_pattern(pa.StringArray.from_buffers(len(texts), pa.py_buffer(starts), pa.py_buffer(flat)), " ")
+        starts = np.r_[0, np.cumsum(pc.binary_length(texts).to_numpy())]
+        # With the spaces, offsets must still fit 32 bits.
+        if SPECIAL in raw or len(raw) > 1 << 30:
+            flat = raw.translate(LOWER if SPECIAL not in raw else SPACED)
+        else:
+            flat, starts = part_marks(raw.translate(LOWER), starts)
+        cut = pc.split_pattern(pa.StringArray.from_buffers(len(texts), pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(flat)), " ")
         known = cut.values.dictionary_encode()
         each = [*self.ids_of(known.dictionary.cast(pa.binary()).to_pylist()), end]
         # The ids of every word and, after the last word of a text, END, gathered out of those of the distinct words.

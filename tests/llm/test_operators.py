@@ -110,6 +110,15 @@ def test_encoder_equals_whole_texts():
     alphabet = ["a", "B", "0", "10", "&&&", "$", "#", ";", "|>", "'s", "'", "é", "e\u0301", "\u0301", "Σ", "ς", "İ", "\u00a0", "\u2028", "\t", "\r", "\x0b", " ", "\n", "  ", "7", "漢", "😀", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "<|endof", "text|>", ".", ",", "!", "Qu", "\u212a",  "\u200d", "\x00", "?!", "\uac00", "\u11a8"]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(20000)] + ["x" * 5000 + " " + "x" * 5000]
     assert e.encode(pa.array(texts)) == [x + b"\1\0\0\0" for x in e.whole(texts)]
+    # Texts where no special token could begin are cut at marks.
+    alphabet = [x for x in alphabet if "<" not in x] + ["-", "_", "<", "É", "×", "÷", "ÿ", "ß", "ñ", "\u0338", "²", "—"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))).replace("<|", "<") for _ in range(20000)]
+    texts = [x for x in texts if x[:1] != "|"]
+    assert not any("<|" in x for x in texts)
+    assert e.encode(pa.array(texts)) == [x + b"\1\0\0\0" for x in e.whole(texts)]
+    cased = json.loads(e.encoder.to_str())
+    cased["normalizer"]["normalizers"] = [x for x in cased["normalizer"]["normalizers"] if x["type"] != "Lowercase"]
+    assert not e.exact(cased)
 
 
 def test_shards_balance(docs, none):

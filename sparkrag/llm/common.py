@@ -68,15 +68,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows: DataFrame, classes: DataFrame, key: str, most: int = 1000) -> DataFrame:
+def join_hot(rows: DataFrame, classes: DataFrame, key: str, most: int = 1000, counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """rows joined with classes, whose key is unique. Keys of rows that hold more than a `most`-th of them are fewer than `most`,
-    so their classes are broadcast and their rows stay where they are; the others are joined by shuffling. Both sides are read more than once: store them."""
-    n = rows.count()
-    hot = [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(n // most, 100)).where(F.col(key).isNotNull()).select(key).collect()]
+    so their classes are broadcast and their rows stay where they are; the others are joined by shuffling. Both sides are read more than once: store them,
+    or give as `counted` a stored table with the keys of all rows."""
+    keys = rows if counted is None else counted
+    n = keys.count()
+    hot = [r[0] for r in keys.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(n // most, 100)).where(F.col(key).isNotNull()).select(key).collect()]
     if not hot:
-        return rows.join(classes, key)
+        return rows.join(classes, key, how)
     at = F.col(key).isin(hot)
-    return rows.where(at).join(F.broadcast(classes.where(at)), key).unionByName(rows.where(~at).join(classes.where(~at), key))
+    return rows.where(at).join(F.broadcast(classes.where(at)), key, how).unionByName(rows.where(~at).join(classes.where(~at), key, how))
 
 
 def rank_in_group(df: DataFrame, group: list[str], order: list[str], part: str, out: str) -> DataFrame:

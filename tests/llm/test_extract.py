@@ -66,3 +66,43 @@ def test_pages_equal_brute_force(spark):
 
 def test_empty(spark):
     assert op4.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_articles_are_differenced(spark):
+    """Site lines at the ends of articles go; headings, passages, lines in the middle and copies of an article stay."""
+    page = lambda i, more: f"<nav>menu {i}</nav><article><h1>Daily</h1><p>Share this</p><p>own {i}, and long enough</p><p>Salt</p>{more}<p>end {i}</p><p>Subscribe now</p></article>"
+    rows = [(i, f"http://site/{i}", page(i, "<p>passage</p>" if i in (2, 3) else ""), "") for i in range(6)]
+    rows += [(10 + i, f"http://copies/{i}", f"<script>{i}</script><article><h1>T</h1><p>one</p><p>two</p></article>", "") for i in range(4)]
+    rows += [(20 + i, f"http://two/{i}", page(i, ""), "") for i in range(2)]
+    rows += [(30 + i, f"http://some/{i}", page(i, "") if i < 3 else f"<main><p>other {i}</p></main>", "") for i in range(6)]
+    rows += [(40, "http://SITE/0?copy", page(0, ""), "")]
+    got = {r["page_id"]: r["text"] for r in op4.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    whole = lambda html: "\n".join(x for x, inside in op4.page_lines(html) if inside)
+    for i in range(6):
+        assert got[i] == "\n".join(["Daily", f"own {i}, and long enough", "Salt", *(["passage"] if i in (2, 3) else []), f"end {i}"])
+    assert got[40] == got[0]
+    assert all(got[k] == whole(html) for k, _, html, _ in rows if k >= 10 and k < 40)
+
+
+def test_article_lines_of_a_table_stay(spark):
+    """Articles of the test tables hold no site lines, though neighbours repeat passages: all that differencing finds there is refuted."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in op4.extract(pages).collect()}
+    assert got == {r["page_id"]: "\n".join(x for x, inside in op4.page_lines(r["html"]) if inside) for r in pages.collect()}
+
+
+def test_neighbours_across_ranges(spark):
+    """A host over several ranges of the order, and hosts that end where a range does, have the neighbours of the whole order."""
+    rnd = random.Random(6)
+    every = sorted({("one" if rnd.random() < 0.6 else f"h{rnd.randrange(60)}", f"/{rnd.randrange(10**6)}", "c") for _ in range(400)})
+    want = {}
+    for i, (h, p, _) in enumerate(every):
+        near = [every[j][:2] for j in (i - 1, i + 1) if 0 <= j < len(every) and every[j][0] == h]
+        want[h, p] = " ".join(near[0]) if near else None
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = op4.neighbours(spark.createDataFrame([(h, p, c, [f"{h} {p}"]) for h, p, c in every], "h string, p string, c string, lines array<string>")).collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(got) == len(every) and {(r["h"], r["p"]): r["other"] and r["other"][0] for r in got} == want

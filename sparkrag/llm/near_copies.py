@@ -1,15 +1,18 @@
-"""Near copies for the pipeline: covering masks over shingle sets, and an exact check.
+"""Near copies for the pipeline: op7's SimHash links, covering classes for what lies beyond its radius, and an exact check.
 
-Two texts link when the Jaccard similarity of their sets of SHINGLE-word shingles (lower-cased) is 0.8 or more. Sets of n
-and m shingles then differ in at most (n + m) / 9 of them, whatever their 64-bit SimHash fingerprints do (those of linked
-texts were seen 2 to 11 bits apart; a radius of 11 would take 4,095 tables). So the covering masks of op7 are laid over
-the sets themselves: a mask keeps the shingles of one class of hash values. With one class more than sets can differ
+Two texts link when the Jaccard similarity of their sets of SHINGLE-word shingles (lower-cased) is 0.8 or more. First
+op7 links texts by the covering masks of their fingerprints; of these links the exact check keeps the ones at 0.8 or more.
+
+Fingerprints bound no similarity (those of linked texts were seen 2 to 11 bits apart; a radius of 11 would take 4,095
+tables). So for the rest covering masks are laid over the shingle sets themselves, which differ, with n and m shingles, in
+at most (n + m) / 9 of them: a mask keeps the shingles of one class of hash values. With one class more than sets can differ
 in, a linked pair agrees on all shingles of some class, whose sum is a key of both. Sets are large, so fewer classes do: as
 many as leave a pair at 0.8 COVER classes untouched on average, so that about one in 10^7 at exactly 0.8 is missed; small sets, where a
-class may be empty, take classes under several hash functions (of pairs of 4 and 5 shingles up to two in 10^5 are missed). Class counts belong to ranges of sizes, RATIO wide; a text in
+class may be empty, take classes under several hash functions (of pairs of 4 and 5 shingles up to two in 10^5 are missed), unless
+their fingerprints link them. Class counts belong to ranges of sizes, RATIO wide; a text in
 reach of the next range has keys there too.
 
-Texts of a key are nearly always near copies. First every text is checked against the least text of that key it shares most
+Texts of a key are nearly always near copies. With op7's links, every text is checked against the least text of that key it shares most
 keys with. Then keys that hold several components are compared in blocks, by a parity bitmap of the whole set: bitmaps
 differ in no more bits than sets in shingles, so texts farther apart than 0.8 allows go without loss, and no row is made of
 them. Of each text the nearest of another component is checked, and, across the components which that gives, all that are
@@ -33,7 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_hot, stored
-from .op7_simhash import components
+from .op7_simhash import components, fingerprints
+from .op7_simhash import links as near_prints
 
 SHINGLE = 5
 #: Words remembered by a worker.
@@ -245,12 +249,23 @@ def across(met: DataFrame, sets: DataFrame, at: DataFrame, nearest: bool) -> Dat
     return rest.join(every, "key").select("ms", "os").mapInArrow(_near(nearest), "a bigint, b bigint").distinct()
 
 
+def printed(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of texts (k, text) that op7 links: texts of one fingerprint with the least of them, and the least ones of linked fingerprints."""
+    rows = stored(fingerprints(texts.select(F.col("k").alias("doc_id"), "text")), "fingerprints")
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    same = join_hot(rows, least, "fp").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    side = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"k{c}"))
+    apart = near_prints(least.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.greatest("ka", "kb").alias("a"), F.least("ka", "kb").alias("b"))
+    return stored(same.union(apart), "printed")
+
+
 def roots(texts: DataFrame) -> DataFrame:
     """(node, root), a > b linked transitively, of the texts (k, text) that have a near copy; k is unique."""
-    met = stored(members(texts), "members")
-    sets = stored(texts.join(met.select("k").distinct(), "k").select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "k bigint, n bigint, bits binary, hashes array<bigint>"), "sets")
+    prints, met = printed(texts), stored(members(texts), "members")
+    some = met.select("k").union(prints.select("a")).union(prints.select("b")).distinct()
+    sets = stored(texts.join(some, "k").select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "k bigint, n bigint, bits binary, hashes array<bigint>"), "sets")
     first = met.where("k <> low").groupBy("k", "low").agg(F.count("*").alias("c")).groupBy("k").agg(F.max(F.struct("c", F.col("low").alias("o"))).alias("best"))
-    pairs = first.select(F.greatest("k", "best.o").alias("a"), F.least("k", "best.o").alias("b")).distinct()
+    pairs = first.select(F.greatest("k", "best.o").alias("a"), F.least("k", "best.o").alias("b")).union(prints).distinct()
     links = stored(checked(pairs, sets), "links")
     for nearest in (True, False):
         more = stored(across(met, sets, components(links), nearest), "candidates")

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkrag.llm import near_copies
+from sparkrag.llm import near_copies, op7_simhash
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -93,3 +94,33 @@ def test_null_and_repeated_ids_stay(spark, tmp_path):
     assert {r["text"] for r in clean.collect()} == {t for _, t, _ in rows[:4]}
     mixed = [r["text"] for r in corpus_pipeline.mix(spark, clean, "").collect()]
     assert {t: mixed.count(t) for t in set(mixed)} == {t: 2 for _, t, _ in rows[:4]} or len(mixed) == 6 and max(map(mixed.count, mixed)) <= 2
+
+
+def test_links_of_fingerprints(spark, monkeypatch):
+    """op7's links are what the stage begins with: without any covering class they alone merge the near copies within its radius, after the exact check."""
+    rnd = random.Random(14)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnop", k=4)) for _ in range(500)]
+    texts = []
+    for _ in range(8):
+        w = rnd.choices(vocabulary, k=500)
+        texts.append(" ".join(w))
+        for i in (1, 250, 499):
+            texts.append(" ".join([*w[:i], rnd.choice(vocabulary), *w[i + 1 :]]))
+    # Equal fingerprints, for 3-word shingles in one order and another, but few five-word shingles in common.
+    lead = rnd.choices(vocabulary, k=2)
+    loops = [[*lead, *rnd.choices(vocabulary, k=1)] for _ in range(12)]
+    texts += [" ".join(x for loop in order for x in loop) + " " + " ".join(lead) for order in (loops, rnd.sample(loops, 12))]
+    prints, part = [op7_simhash.fingerprint(t.encode()) for t in texts], classes(texts)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= op7_simhash.RADIUS]
+    assert prints[-1] == prints[-2] and part[-1] != part[-2] and len(near) > 8
+    group = list(range(len(texts)))
+    for i, j in near:
+        if part[i] == part[j]:
+            group = [group[j] if x == group[i] else x for x in group]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
+    keyed = docs.select(F.col("doc_id").alias("k"), "text")
+    pairs = {(r["a"], r["b"]) for r in near_copies.printed(keyed).collect()}
+    assert pairs <= set(near)
+    assert near_copies.keep_one(docs).count() == len(set(part))
+    monkeypatch.setattr(near_copies, "members", lambda texts: spark.createDataFrame([], "key bigint, k bigint, low bigint"))
+    assert near_copies.keep_one(docs).count() == len(set(group)) < len(texts)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,35 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+#: Called to drop what a worker process remembers from task to task of one stage.
+forgetting: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system; where the C library has no way to, only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def forget() -> None:
+    for drop in forgetting:
+        drop()
+    give_back()
+
+
+def lean(run):
+    """`run`, for mapInArrow, in a worker that may come from another stage and go to one: that stage's memory is dropped first, freed memory given back last."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 #: Shared folders made so far, in order; `release` deletes them.
 _made: list[str] = []
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored
+from .common import join_hot, lean, stored
 from .op7_simhash import components, fingerprints
 from .op7_simhash import links as near_prints
 
@@ -190,9 +190,9 @@ def text_key() -> Column:
 
 def members(texts: DataFrame) -> DataFrame:
     """(key, k, low) of the keys that several texts (k, text) have; low is a text of the key, mostly the least."""
-    raw = texts.select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_keys, "deal bigint, key bigint, k bigint, low bigint")
+    raw = texts.select("k", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_keys), "deal bigint, key bigint, k bigint, low bigint")
     dealt = raw.repartition("deal").sortWithinPartitions("key", "k")
-    return dealt.select("key", "k", "low").mapInArrow(_members, "key bigint, k bigint, low bigint")
+    return dealt.select("key", "k", "low").mapInArrow(lean(_members), "key bigint, k bigint, low bigint")
 
 
 def _near(nearest: bool):
@@ -246,7 +246,7 @@ def across(met: DataFrame, sets: DataFrame, at: DataFrame, nearest: bool) -> Dat
     block = lambda n: F.pmod(F.xxhash64("k"), F.ceil(n / BLOCK))
     rest = full.where("r <> mr").groupBy("key", block(F.col("c") - F.col("mc")).alias("i")).agg(F.collect_list("m").alias("ms"))
     every = full.groupBy("key", block(F.col("c")).alias("j")).agg(F.collect_list("m").alias("os"))
-    return rest.join(every, "key").select("ms", "os").mapInArrow(_near(nearest), "a bigint, b bigint").distinct()
+    return rest.join(every, "key").select("ms", "os").mapInArrow(lean(_near(nearest)), "a bigint, b bigint").distinct()
 
 
 def printed(texts: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def roots(texts: DataFrame) -> DataFrame:
     """(node, root), a > b linked transitively, of the texts (k, text) that have a near copy; k is unique."""
     prints, met = printed(texts), stored(members(texts), "members")
     some = met.select("k").union(prints.select("a")).union(prints.select("b")).distinct()
-    sets = stored(texts.join(some, "k").select("k", F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "k bigint, n bigint, bits binary, hashes array<bigint>"), "sets")
+    sets = stored(texts.join(some, "k").select("k", F.col("text").cast("binary").alias("text")).mapInArrow(lean(_sets), "k bigint, n bigint, bits binary, hashes array<bigint>"), "sets")
     first = met.where("k <> low").groupBy("k", "low").agg(F.count("*").alias("c")).groupBy("k").agg(F.max(F.struct("c", F.col("low").alias("o"))).alias("best"))
     pairs = first.select(F.greatest("k", "best.o").alias("a"), F.least("k", "best.o").alias("b")).union(prints).distinct()
     links = stored(checked(pairs, sets), "links")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import lean, stored, table
 
 RANK, PASSAGE, OTHER = 32, 64, -1
 COSINE, SAME, PARAPHRASE, ANSWER = 0.4, 0.6, 0.5, 0.8
@@ -37,6 +37,8 @@ SHORT, LEAST, LIMIT = 8, 4, 1 << 28
 ITEMS = 4000
 #: Words that are worked on at once; a document is never cut.
 CHUNK = 1 << 17
+#: Rows of the latent space held at once.
+ROWS = 1 << 14
 NOT_WORD = bytes(x for x in range(128) if not chr(x).isalnum())
 SPACES = bytes.maketrans(NOT_WORD, b" " * len(NOT_WORD))
 
@@ -94,7 +96,7 @@ def numbered(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
                 ids.append(np.fromiter(map(get, w), np.int32, len(w)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, ids binary").where("length(ids) > 0")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lean(run), "doc_id bigint, ids binary").where("length(ids) > 0")
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -124,6 +126,34 @@ def cells(starts: np.ndarray, ids: np.ndarray, terms: int) -> tuple[int, np.ndar
     return int(passages.sum()), cell // terms, cell % terms, tf
 
 
+def pieces(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of sizes that add up to ROWS at most, or one that is larger."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + ROWS, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def add_product(out: np.ndarray, starts: np.ndarray, ids: np.ndarray, idf: np.ndarray, rough: np.ndarray) -> None:
+    """Adds A'(A G) to out, for the passages A of some documents; rough is G times idf."""
+    _, at, term, tf = cells(starts, ids, len(idf))
+    if not len(at):
+        return
+    begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    sizes = np.diff(np.r_[begins, len(at)])
+    for some in pieces(sizes):
+        first = begins[some] - begins[some][0]
+        mine = slice(begins[some][0], begins[some][0] + sizes[some].sum())
+        t, n, row = term[mine], tf[mine], np.repeat(np.arange(len(first)), sizes[some])
+        weight = n * idf[t]
+        norm = np.sqrt(np.add.reduceat(weight**2, first))[row]
+        rows = np.add.reduceat(rough[t] * (n / norm)[:, None].astype(np.float32), first)
+        order = np.argsort(t, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(t[order]) != 0])
+        out[t[order[first]]] += np.add.reduceat(rows[row[order]] * (weight / norm)[order, None].astype(np.float32), first)
+
+
 def term_space(numbers: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
     """Document frequency of the terms, and per term RANK numbers: its idf times its place in the latent space."""
 
@@ -137,7 +167,7 @@ def term_space(numbers: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some], pa.int64())], ["term", "n"])
 
     df = np.zeros(terms + 1)
-    for term, c in numbers.select("doc_id", "ids").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for term, c in numbers.select("doc_id", "ids").mapInArrow(lean(count), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         df[term] = c
     idf = np.log((df[terms] + 1) / (df[:terms] + 1)) + 0.1
     g = np.random.default_rng(42).standard_normal((terms, RANK))
@@ -146,23 +176,13 @@ def term_space(numbers: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((terms, RANK))
         for _, starts, ids in chunks(batches):
-            _, at, term, tf = cells(starts, ids, terms)
-            if not len(at):
-                continue
-            begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            row = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(at)]))
-            weight = tf * idf[term]
-            norm = np.sqrt(np.add.reduceat(weight**2, begins))[row]
-            rows = np.add.reduceat(rough[term] * (tf / norm)[:, None].astype(np.float32), begins)
-            order = np.argsort(term, kind="stable")
-            begins = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
-            out[term[order[begins]]] += np.add.reduceat(rows[row[order]] * (weight / norm)[order, None].astype(np.float32), begins)
+            add_product(out, starts, ids, idf, rough)
         some = np.flatnonzero(np.abs(out).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(list(out[some].astype(np.float32)), pa.list_(pa.float32()))], ["term", "row"])
 
     y = np.zeros((terms, RANK))
     sums = [F.sum(F.col("row")[i].cast("double")).alias(f"x{i}") for i in range(RANK)]
-    for r in numbers.select("doc_id", "ids").mapInArrow(multiply, "term int, row array<float>").groupBy("term").agg(*sums).collect():
+    for r in numbers.select("doc_id", "ids").mapInArrow(lean(multiply), "term int, row array<float>").groupBy("term").agg(*sums).collect():
         y[r[0]] = r[1:]
     # A'A is about Y (G'Y)^-1 Y', so the left singular vectors of Y (G'Y)^-1/2 are right ones of A, with its singular values.
     small, turn = np.linalg.eigh((g.T @ y + y.T @ g) / 2)
@@ -223,10 +243,10 @@ class Searcher:
         """(document, item, score) of the items that documents leak."""
         best: dict[tuple[int, int], float] = {}
         item, doc, at = self.windows(starts, ids) if self.items else (np.zeros(0, np.int64),) * 3
-        for lo in range(0, len(item), 4096):
-            j, d = item[lo : lo + 4096], doc[lo : lo + 4096]
+        for some in pieces(self.length[item]):
+            j, d = item[some], doc[some]
             step = self.step[j]
-            s = starts[d] + at[lo : lo + 4096] * step
+            s = starts[d] + at[some] * step
             e = np.minimum(s + self.length[j], starts[d + 1])
             near = ids[ranges(s, e - s)]
             rows = np.add.reduceat(np.where((near >= 0)[:, None], self.space[near], np.float32(0)), np.cumsum(e - s) - (e - s))
@@ -260,7 +280,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 cols = list(zip(*[(names[d], item, x) for d, item, x in s.search(starts, ids)])) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, FOUND.types)], schema=FOUND)
 
-        return numbers.mapInArrow(run, "doc_id bigint, item_id bigint, score double")
+        return numbers.mapInArrow(lean(run), "doc_id bigint, item_id bigint, score double")
 
     return reduce(DataFrame.union, [block(items[lo : lo + ITEMS]) for lo in range(0, max(1, len(items)), ITEMS)])
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import forgetting, give_back, lean, shared_dir, stored, table
 
 MAGIC = b"SSTTOK01"
 BLOCK_BYTES = 1 << 18
@@ -294,10 +294,13 @@ class Encoder:
 
 @functools.lru_cache(1)
 def encoder_of(tokenizer: str) -> Encoder:
-    """One encoder for all tasks of a worker process."""
+    """One encoder for all tasks of a worker process, until it works for another stage."""
     return Encoder(tokenizer)
 
 
+forgetting.append(encoder_of.cache_clear)
+
+
 def portions(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about BYTES bytes of text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -332,7 +335,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shards: int | Non
                         w.add(key_of(doc), value)
             w.finish()
         gc.enable()
-        pa.default_memory_pool().release_unused()
+        give_back()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_rows": pa.array([w.rows], pa.int64()), "n_ids": pa.array([ids], pa.int64())}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_rows", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select("doc_id", "text")
@@ -369,7 +372,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 
     # A task reads one file, or a few.
     n = manifest.count()
-    return starts.select("file", "start").repartition(max(1, n)).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return starts.select("file", "start").repartition(max(1, n)).mapInArrow(lean(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str) -> DataFrame:

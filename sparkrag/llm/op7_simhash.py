@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored, table
+from .common import join_hot, lean, stored, table
 
 RADIUS = 2
 BLOCK = 1 << 15
@@ -59,7 +59,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp holds the unsigned fingerprint in a signed long."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(lean(_fingerprints), "doc_id bigint, fp bigint")
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:

@@ -93,6 +93,27 @@ def test_providers(spark):
             bad()
 
 
+def test_terms_that_cancel_out(spark):
+    # Two tokens on one axis with opposite signs: no vector, but a text that is kept and found by its tokens.
+    words = {}
+    for i in range(1000):
+        axis, sign = embed.axis_of(f"w{i}", 64)
+        if (axis, -sign) in words:
+            text = f"{words[axis, -sign]} w{i}"
+            break
+        words.setdefault((axis, sign), f"w{i}")
+    rows = spark.createDataFrame([(0, "c0", text, "s0"), (1, "c1", "the pump", "s1"), (2, "c2", "the lamp", "s2")], "ordinal long, chunk_id string, text string, source string")
+    got = [r["embedding"] for r in embed.with_embedding(rows, embed.Hashing(64)).orderBy("ordinal").collect()]
+    assert got[0] is None and len(got[1]) == len(got[2]) == 64
+    for kind in ("flat", "ivf", "hnsw", "ivfpq"):
+        index = VectorIndex.create(spark, scratch(spark, kind), 64, kind, nlist=2, nprobe=2, pq_m=16, hnsw_ef_search=128)
+        assert index.add(embed.with_embedding(rows, embed.Hashing(64))) == 3
+        asked = spark.createDataFrame([(1, got[1]), (2, None)], "query_id long, qvec array<float>")
+        assert sorted((r["query_id"], r["id"]) for r in index.search(asked, 3).collect()) == [(1, 1), (1, 2)], kind
+    e = generate.Engine.ingest(spark, scratch(spark, "engine"), rows, embed.Hashing(64), Settings(retrieval_mode="hybrid"))
+    assert e.query(text)["citations"][0]["source"] == "s0" and e.query("pump")["citations"][0]["source"] == "s1"
+
+
 class Fixed:
     def __init__(self, answer, model="fixed"):
         self.answer, self.model = answer, model

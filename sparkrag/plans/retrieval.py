@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..embed import hashed_terms, sparse_top_k, sparse_vectors
+from ..embed import hashed_lists, sparse_top_k, sparse_vectors
 from ..functions import text as T
 from ..index import lexical
 from ..index.vectors import VectorIndex
@@ -164,13 +164,16 @@ de AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FRO
 
 
 def hashed_index(spark, sf_dir: str) -> str:
-    """Stored hashed vectors of the documents, from the stored postings, built once per session and table."""
+    """Stored hashed vectors of the documents, built once per session and table."""
     key = (spark.sparkContext.applicationId, sf_dir, "hashed")
     if key not in _indexes:
         path = scratch(spark, "hashed")
-        terms = spark.read.parquet(f"{lexical_index(spark, sf_dir)}/postings").where("term IS NOT NULL").select("id", "term", "tf")
-        rows = hashed_terms(terms, "id", DIM).withColumn("part", F.col("axis") % 32)
-        rows.repartition("part").sortWithinPartitions("axis", "id").write.partitionBy("part").parquet(path)
+        own, others = lexical.split_repeated(table(spark, sf_dir, "documents"), "doc_id", "text")
+        rows = hashed_lists(own, DIM)
+        if others is not None:
+            rows = rows.union(sparse_vectors(others, "id", "text", DIM).select("axis", F.array("id"), F.array("weight")))
+        rows = rows.withColumn("part", F.col("axis") % 32)
+        rows.sortWithinPartitions("part", "axis").write.partitionBy("part").parquet(path)
         _indexes[key] = path
     return _indexes[key]
 
@@ -178,7 +181,8 @@ def hashed_index(spark, sf_dir: str) -> str:
 def _hashed(spark, sf_dir, k):
     wanted = sparse_vectors(asked(spark), "query_id", "question", DIM)
     at = wanted.select((F.col("axis") % 32).alias("part"), "axis").distinct()
-    return sparse_top_k(spark.read.parquet(hashed_index(spark, sf_dir)).join(at, ["part", "axis"]).drop("part"), wanted, k)
+    met = spark.read.parquet(hashed_index(spark, sf_dir)).join(F.broadcast(at), ["part", "axis"])
+    return sparse_top_k(met.select("axis", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("weights").alias("weight")))), F.broadcast(wanted), k)
 
 
 @query(BM25_SQL + HASHED + "SELECT id, score, rank::INT AS rank FROM de WHERE rank <= 20")

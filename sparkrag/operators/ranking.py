@@ -26,18 +26,29 @@ def _packed(size: int):
     return run
 
 
+def top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k highest of each row, in that order; of equal ones the first columns."""
+    if k < 1 or not scores.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    low = -scores
+    i, j = np.nonzero(~(low > np.partition(low, k - 1, axis=1)[:, [k - 1]]) if k < scores.shape[1] else np.ones(scores.shape, bool))
+    order = np.lexsort((j, low[i, j], i))
+    i, j = i[order], j[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    i, j = i[kept], j[kept]
+    return i, j, scores[i, j]
+
+
 def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                ids, vecs, qids, qvecs = (b.column(c)[i].values.to_numpy() for c in range(4))
+            for r in range(b.num_rows):
+                ids, vecs, qids, qvecs = (b.column(c)[r].values.to_numpy() for c in range(4))
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
                 m = vecs.reshape(len(ids), -1)[order].astype(np.float64)
-                scores = np.round(qvecs.reshape(len(qids), -1).astype(np.float64) @ m.T, 6)
-                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                q = np.repeat(qids, at.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids[at.ravel()], pa.int64()), pa.array(np.take_along_axis(scores, at, 1).ravel(), pa.float64())], ["query_id", "id", "score"])
+                i, j, score = top(np.round(qvecs.reshape(len(qids), -1).astype(np.float64) @ m.T, 6), k)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(score, pa.float64())], ["query_id", "id", "score"])
 
     return run
 

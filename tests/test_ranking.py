@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sparkrag import embed
 from sparkrag.functions import stats
 from sparkrag.index import lexical
 from sparkrag.operators import evaluation, ranking
@@ -68,6 +69,30 @@ def test_bm25_equals_plain_python(spark):
         assert [r["id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in best if scores[i] > 0]
 
 
+def test_index_is_built_without_a_shuffle_of_rows_per_term(spark):
+    docs = spark.createDataFrame([(i, f"red cat {i}") for i in range(9)], "doc_id int, text string")
+    for rows in (lexical.postings(docs), embed.hashed_lists(docs.withColumnRenamed("doc_id", "id"))):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_queries_over_odd_ids_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from sparkrag.plans import queries
+
+    # Ids that repeat, with equal and other lengths, signs beyond ASCII, texts without tokens; more queries than a block has.
+    texts = ["Red cat, the DOG", "red red cat", "ÄÖ red\u212a cat", "", None, "...", "the the cat dog x9", "dog cat red"]
+    spark.createDataFrame([(i % 30, texts[i % 7] if i % 11 else texts[i % 8]) for i in range(44)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, ["cat dog", "red", "the x9 the", "zz", None][i % 5]) for i in range(300)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("bm25_benchmark", "hashed_dense_topk"):
+        df, got = queries.QUERIES[name](spark, str(tmp_path)), con.execute(queries.SQL[name])
+        names = [d[0] for d in got.description]
+        assert sorted(map(tuple, df.select(*names).collect())) == sorted(got.fetchall()), name
+
+
 def test_dense_search_takes_every_hundredth_row(spark, tmp_path):
     from sparkrag.plans import queries
 

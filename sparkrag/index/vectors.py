@@ -11,13 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
 from ..embed import Provider
 from ..operators.cells import numbered
-from ..operators.ranking import dense_top_k
+from ..operators.ranking import dense_top_k, probed_top_k
 from ..sources.files import exists
 
 #: Parameters of the index types and their defaults.
@@ -204,16 +204,13 @@ class VectorIndex:
         if self.index_type == "flat":
             return dense_top_k(rows.select(F.col("ordinal").alias("id"), F.col("embedding").alias("vec")), queries, k)
         probed = self._probed(queries)
-        columns = ["cell", F.col("ordinal").alias("id"), F.col("codes" if self.index_type == "ivfpq" else "embedding").alias("vec")]
-        # The join on the stored cell reads only folders of probed cells.
-        met = rows.select(*columns).join(probed, "cell")
-        score = self._adc() if self.index_type == "ivfpq" else self._inner()
-        best = met.select("query_id", "id", "vec", "qvec", "cell").mapInArrow(score, "query_id bigint, id bigint, score double")
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        # The join on the stored cell reads only folders of probed cells; chunks without a vector are in none.
+        cells = F.broadcast(probed.select(F.explode("cells").alias("cell")).distinct())
+        met = rows.join(cells, "cell", "left_semi").select(F.col("ordinal").alias("id"), F.col("codes" if self.index_type == "ivfpq" else "embedding").alias("vec"), "cell")
+        return probed_top_k(met, probed, k, self._decoded()) if self.index_type == "ivfpq" else probed_top_k(met, probed, k)
 
     def _probed(self, queries: DataFrame) -> DataFrame:
-        """(query_id, qvec, cell) of the cells that a query looks into."""
+        """(query_id, qvec, cells) with the cells that a query looks into."""
         dim = self.dim
         if self.index_type == "hnsw":
             # So many cells as the search breadth asks for, of 256: those that differ in the signs nearest to zero.
@@ -237,31 +234,15 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "qvec", "cells"])
 
         asked = queries.where("qvec IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<float>").alias("qvec"))
-        return asked.mapInArrow(run, "query_id bigint, qvec array<float>, cells array<int>").select("query_id", "qvec", F.explode("cells").alias("cell"))
+        return asked.mapInArrow(run, "query_id bigint, qvec array<float>, cells array<int>")
 
-    def _inner(self):
-        dim = self.dim
+    def _decoded(self):
+        """Vectors that codes stand for: the centroid of the cell and the code centres."""
+        m = self.params["pq_m"]
+        c, books = self._small("centroids"), self._small("codebooks").reshape(m, -1, self.dim // m)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, q = (matrix(b.column(i), dim).astype(np.float64) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round((x * q).sum(1), 6))], ["query_id", "id", "score"])
-
-        return run
-
-    def _adc(self):
-        """Inner product with the centroid plus a table of products with the code centres."""
-        dim, m = self.dim, self.params["pq_m"]
-        c, books = self._small("centroids"), self._small("codebooks").reshape(m, -1, dim // m)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                q = matrix(b.column(3), dim).astype(np.float64)
-                codes = matrix(b.column(2), m).astype(np.int64)
-                base = (q * c[b.column(4).to_numpy()]).sum(1)
-                parts = q.reshape(len(q), m, -1)
-                found = sum((parts[:, j] * books[j][codes[:, j]]).sum(1) for j in range(m))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(base + found, 6))], ["query_id", "id", "score"])
+        def run(codes: np.ndarray, rows: int, cell: int) -> np.ndarray:
+            return c[cell] + books[np.arange(m), codes.reshape(rows, m)].reshape(rows, -1)
 
         return run
 

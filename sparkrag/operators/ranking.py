@@ -53,6 +53,65 @@ def _best(k: int):
     return run
 
 
+def _celled(size: int):
+    """Blocks (cell, ids, vecs) of rows (id, vec, cell), of one cell each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            order = np.argsort(b.column(2).to_numpy(), kind="stable")
+            b = b.take(pa.array(order))
+            cells = b.column(2).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else []
+            for lo, hi in zip(starts, [*starts[1:], len(cells)]):
+                for i in range(lo, hi, size):
+                    part = b.slice(i, min(size, hi - i))
+                    ids, vecs = part.column(0), part.column(1).flatten()
+                    yield pa.RecordBatch.from_arrays([part.column(2).slice(0, 1), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, vecs))], ["cell", "ids", "vecs"])
+
+    return run
+
+
+def _probing(size: int):
+    """Blocks (qids, qvecs, qcells) of rows (query_id, qvec, cells), all with as many cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                parts = part.column(0), part.column(1).flatten(), part.column(2).flatten()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in parts], ["qids", "qvecs", "qcells"])
+
+    return run
+
+
+def probed_top_k(index: DataFrame, queries: DataFrame, k: int, decoded: Callable = lambda vecs, rows, cell: vecs.reshape(rows, -1)) -> DataFrame:
+    """(query_id, id, score, rank): index (id, vec, cell) searched by queries (query_id, qvec, cells), each in its cells only.
+
+    Blocks of one cell meet blocks of queries, so no pair of vectors is a row and no cell is one task's; decoded(vecs, rows, cell)
+    makes vectors of what the index holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                cell = b.column(0)[r].as_py()
+                ids, vecs, qids, qvecs, qcells = (b.column(c)[r].values.to_numpy() for c in range(1, 6))
+                asks = (qcells.reshape(len(qids), -1) == cell).any(axis=1)
+                if asks.any():
+                    order = np.argsort(ids, kind="stable")
+                    x = decoded(vecs, len(ids), cell)[order].astype(np.float64)
+                    q = qvecs.reshape(len(qids), -1)[asks].astype(np.float64)
+                    i, j, score = top(np.round(q @ x.T, 6), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[asks][i], pa.int64()), pa.array(ids[order][j], pa.int64()), pa.array(score, pa.float64())], ["query_id", "id", "score"])
+
+    kind = index.schema["vec"].dataType.simpleString()
+    left = index.mapInArrow(_celled(ROWS), f"cell int, ids array<bigint>, vecs {kind}")
+    right = queries.mapInArrow(_probing(QUERIES), "qids array<bigint>, qvecs array<float>, qcells array<int>")
+    best = left.crossJoin(F.broadcast(right)).mapInArrow(run, "query_id bigint, id bigint, score double")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def dense_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): exact search of index (id, vec) with a stated query set (query_id, qvec) of any size.
 

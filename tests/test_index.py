@@ -43,6 +43,13 @@ def test_types_against_exact_search(spark, vectors):
         assert ann_recall(flat, built(spark, rows, kind, **params).search(queries, 10), 10).first()["recall"] >= least, kind
 
 
+def test_search_makes_no_row_per_pair(spark, vectors):
+    rows, queries = vectors
+    for kind, params in (("ivf", {"nlist": 12, "nprobe": 12}), ("ivfpq", {"nlist": 12, "nprobe": 12, "pq_m": 8}), ("hnsw", {})):
+        plan = built(spark, rows, kind, **params).search(queries, 10)._jdf.queryExecution().executedPlan().toString()
+        assert "qcells" in plan, kind
+
+
 def test_index_contract(spark, vectors):
     rows, queries = vectors
     path = scratch(spark, "i")
